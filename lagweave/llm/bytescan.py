@@ -99,7 +99,7 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = Non
     edge = np.zeros(n + 1, bool)
     edge[1:n] = word[1:] != word[:-1]
     inner = offsets[1:-1]
-    inner = inner[(inner > 0) & (inner < n)]
+    inner = np.unique(inner[(inner > 0) & (inner < n)])
     cut = inner[word[inner] & word[inner - 1]]
     edge[0], edge[n] = word[0], word[-1]
     at = np.flatnonzero(edge)
