@@ -73,9 +73,11 @@ def parity(h: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
 
 def split_by(keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(key, bytes of its rows) for each key."""
+    if not len(keys):
+        return
     order = np.argsort(keys, kind="stable")
     keys, rows = keys[order], rows[order]
-    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     for a, b in zip(cut, np.append(cut[1:], len(keys)), strict=True):
         yield int(keys[a]), rows[a:b].tobytes()
 

@@ -8,8 +8,9 @@ character, compatibility is a test by merging the two pieces' characters (kept
 in a table), and the ids follow backwards from the end. The work is linear in
 the text, whatever it holds.
 
-Where no piece has a character before a space mark, texts are cut before each run
-of space marks; the cuts' ids are independent, and repeated cuts are looked up.
+Where the vocabulary shows that no piece spans them (before a run of space marks,
+before punctuation), texts are cut; the cuts' ids are independent, and repeated
+cuts are looked up.
 
 Nulls count as empty; the empty text has no ids and decodes to the empty text.
 """
@@ -27,7 +28,7 @@ from .shared import pieces
 
 SPACE = "▁"
 #: Cuts and pairs that a worker keeps; beyond, it begins anew.
-CACHE = 400_000
+CACHE = 700_000
 
 
 class PrefixTable:
@@ -46,6 +47,9 @@ class PrefixTable:
         self.id_of = {self.piece[i]: i for i in plain}
         self.score = {self.piece[i]: sp.get_score(i) for i in plain}
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.id_of)
+        self.pattern = re.compile(self._cut_pattern())
+        #: What a piece adds to a text, but for byte pieces.
+        self.surface = [p.replace(SPACE, " ") for p in self.piece]
         order = {x: k for k, x in enumerate(sorted(set(self.score.values()), reverse=True))}
         #: When a piece is made: pieces of a better score first; characters are there from the start.
         self.rank = {p: order[x] for p, x in self.score.items() if len(p) > 1}
@@ -61,6 +65,18 @@ class PrefixTable:
         self.text_ids: dict[str, str] = {}
         self.text_back: dict[str, str] = {}
 
+    def _cut_pattern(self) -> str:
+        """Cuts before runs of space marks, and before characters that no piece has after one of another kind (the space mark apart), such as punctuation after a letter."""
+        pairs = {(p[k], p[k + 1]) for p in self.id_of for k in range(len(p) - 1)}
+        pairs = {(a, b) for a, b in pairs if a != SPACE}
+        marks = {c for c in map(chr, range(33, 127)) if not c.isalnum()}
+        while worse := {b for a, b in pairs if b in marks and a not in marks}:
+            marks -= worse
+        if not marks:
+            return f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
+        m = "".join(map(re.escape, sorted(marks)))
+        return f"{SPACE}+[{m}]*[^{SPACE}{m}]*|[{m}]+[^{SPACE}{m}]*"
+
     def merge(self, text: str) -> list[str]:
         """Best score first, leftmost of ties; keeps the halves of what it makes."""
         parts, rank = list(text), self.rank
@@ -141,7 +157,7 @@ class PrefixTable:
         if not text:
             return []
         marked = SPACE + text.replace(" ", SPACE)
-        return re.findall(f"{SPACE}+[^{SPACE}]*", marked) if self.cuts else [marked]
+        return self.pattern.findall(marked) if self.cuts else [marked]
 
     def encode(self, text: str) -> list[int]:
         return [i for c in self.cut(text) for i in self.ids(c)]
@@ -191,7 +207,7 @@ class PrefixTable:
         for c in {c for c in cuts if c not in ids}:
             got = self.ids(c)
             ids[c] = ",".join(map(str, got))
-            back[c] = self.decode([self.id_of[SPACE], *got]) if SPACE in self.id_of else self.decode(got)
+            back[c] = "".join([self.surface[i] for i in got]) if not self.byte_of.keys() & got else self.decode([self.id_of[SPACE], *got])
         # Each cut begins with a space mark, of which the first in the text is the model's own.
         return ",".join(map(ids.__getitem__, cuts)), "".join(map(back.__getitem__, cuts))[1:]
 
