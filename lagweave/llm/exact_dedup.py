@@ -76,20 +76,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     depth = slots.select("depth").first()
     of_bucket = raw.withColumn("slot", _prefix(F.col("key"), F.lit(depth[0] if depth else 0))).join(F.broadcast(slots.drop("depth")), "slot")
     index = kept(of_bucket.repartition("bucket").sortWithinPartitions("bucket", "key", "digest").drop("slot"), "exact-index")
-    entry = index.groupBy("key", "digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("chain"))
-    found = rows.drop("text").join(entry, ["key", "digest"])
     out = ["id", "keep_id", "group_size", "sha"]
-    if entry.where("chain > 1").isEmpty():
+    clash = index.groupBy("key", "digest").count().where("count > 1").select("key", "digest")
+    # Both sides come straight from their tables, so that a hot key's rows can be split among tasks.
+    found = rows.drop("text").join(index.select("key", "digest", "keep_id", F.col("n").alias("group_size")), ["key", "digest"])
+    if clash.isEmpty():
         found = found.select(out)
     else:
-        chained = rows.join(entry.where("chain > 1").select("key", "digest"), ["key", "digest"], "left_semi")
+        clash = kept(clash, "exact-chains")
+        chained = rows.join(clash, ["key", "digest"], "left_semi")
         groups = chained.groupBy("key", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        found = found.where("chain = 1").select(out).unionByName(chained.join(groups, ["key", "text"]).select(out))
+        found = found.join(clash, ["key", "digest"], "left_anti").select(out).unionByName(chained.join(groups, ["key", "text"]).select(out))
     # Rows with the largest id stay; if that id is there twice with this text, each of its rows is marked.
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    drop = exact_dedup(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col(id_col).alias("__lw_id"))
-    return docs.join(drop, docs[id_col].eqNullSafe(drop["__lw_id"]), "left_anti")
+    drop = exact_dedup(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col(id_col).alias("__lw_id"), F.col("text_sha256").alias("__lw_sha")).distinct()
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    return docs.join(drop, F.col(id_col).eqNullSafe(F.col("__lw_id")) & (sha == F.col("__lw_sha")), "left_anti")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .shared import pieces
+from .shared import bounded_sample, pieces
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -163,9 +163,8 @@ def train(rows: DataFrame, text_col: str, label_col: str, id_col: str, sample_ro
     """Learns from the sample_rows labelled rows with the smallest hash of their id; whole texts are never gathered, only their sampled windows."""
     ok = rows.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("k"), F.col(label_col).alias("y"), F.encode(text_col, "UTF-8").alias("t"))
     ok = ok.where(F.length("t") > 0)
-    h = F.xxhash64(F.lit(seed), "k")
     cuts = [F.substring("t", (F.pmod(F.xxhash64(F.lit(seed + j), "k"), F.greatest(F.length("t") - WINDOW, F.lit(0)) + 1) + 1).cast("int"), F.lit(WINDOW)).alias(f"w{j}") for j in range(windows_per_row)]
-    got = ok.select(h.alias("h"), "k", "y", *cuts).orderBy("h", "k", "y").limit(sample_rows).collect()
+    got = sorted(bounded_sample(ok.select("k", "y", *cuts), "k", sample_rows, seed).collect())
     if not got:
         return None
     labels = sorted({r["y"] for r in got})

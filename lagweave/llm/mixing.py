@@ -60,40 +60,64 @@ def uniform(key: Column, seed: int) -> Column:
     return (digits.cast("double") + 0.5) / float(1 << 52)
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), max_copies: int = 3, seed: int = 7) -> DataFrame:
-    """One row per row of docs: id, size, source_size, target, taken (words the mix takes of it)."""
-    skinny = kept(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["source"].eqNullSafe(b["of"])
+
+
+def _ranked(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """rows (id, source, ...) with their source's plan, the ranking variable q (null: not sampled) and its bins."""
+    u = uniform(F.col("id"), seed)
+    rows = rows.join(plan, _same(rows, plan)).drop("of")
+    rank = F.when(F.col("p") > 0, F.when(F.col("p") < 1, u / (1 - u) * ((1 - F.col("p")) / F.col("p"))).otherwise(0.0))
+    share = F.col("q") / (1 + F.col("q"))
+    return rows.withColumn("q", rank).withColumn("b1", F.floor(share * (1 << BITS)).cast("int")).withColumn("b2", (F.floor(share * (1 << 2 * BITS)) % (1 << BITS)).cast("int"))
+
+
+def plan_mix(skinny: DataFrame, weights: tuple[float, ...], max_copies: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (id, source, size): each source's target with its certain copies and inclusion probability, and where its sample ends."""
     sizes = skinny.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, max_copies)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = plan.withColumn("whole", F.least(F.floor(ratio), F.lit(max_copies)).cast("long")).withColumn("lack", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = plan.withColumn("p", F.when(F.col("source_size") > 0, F.col("lack") / F.col("source_size")).otherwise(0.0))
     plan = kept(plan.withColumnRenamed("source", "of"), "mix-plan")
-    same = lambda a, b: a["source"].eqNullSafe(b["of"])
-    u = uniform(F.col("id"), seed)
-    rows = skinny.join(plan, same(skinny, plan)).drop("of")
-    rank = F.when(F.col("p") > 0, F.when(F.col("p") < 1, u / (1 - u) * ((1 - F.col("p")) / F.col("p"))).otherwise(0.0))
-    share = F.col("q") / (1 + F.col("q"))
-    rows = rows.withColumn("q", rank).withColumn("b1", F.floor(share * (1 << BITS)).cast("int")).withColumn("b2", (F.floor(share * (1 << 2 * BITS)) % (1 << BITS)).cast("int"))
-
-    open_rows, cut = rows.where(F.col("q").isNotNull() & (F.col("size") > 0)), plan.select("of", "lack")
+    open_rows, cut = _ranked(skinny, plan, seed).where(F.col("q").isNotNull() & (F.col("size") > 0)), plan.select("of", "lack")
     for k, b in enumerate(("b1", "b2"), 1):
         held = open_rows.groupBy("source", b).agg(F.sum("size").alias("held"))
         so_far = Window.partitionBy("source").orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
         held = held.withColumn("before", F.coalesce(F.sum("held").over(so_far), F.lit(0)))
-        at = held.join(cut, same(held, cut)).where((F.col("before") < F.col("lack")) & (F.col("lack") <= F.col("before") + F.col("held")))
-        at = at.select("of", F.col(b).alias(f"c{k}"), (F.col("lack") - F.col("before")).alias("lack"), *[f"c{j}" for j in range(1, k)])
-        # Sums of doubles may leave a source with a hair more to take than it has: all of it is taken then.
-        cut = cut.drop("lack").join(at, "of") if k == 1 else at
-        cut = kept(cut.select("of", "lack", *[f"c{j}" for j in range(1, k + 1)]), f"mix-cut{k}")
-        open_rows = open_rows.join(cut.select(F.col("of"), F.col(f"c{k}")), same(open_rows, cut) & (open_rows[b] == cut[f"c{k}"])).drop("of", f"c{k}")
+        at = held.join(cut, _same(held, cut)).where((F.col("before") < F.col("lack")) & (F.col("lack") <= F.col("before") + F.col("held")))
+        # Sums of doubles may leave a source with a hair more to take than it has: it has no cut then, and all of it is taken.
+        cut = kept(at.select("of", (F.col("lack") - F.col("before")).alias("lack"), F.col(b).alias(f"c{k}"), *[f"c{j}" for j in range(1, k)]), f"mix-cut{k}")
+        own = cut.select("of", f"c{k}")
+        open_rows = open_rows.join(own, _same(open_rows, own) & (open_rows[b] == own[f"c{k}"])).drop("of", f"c{k}")
     last = open_rows.groupBy("source", "q", "id").agg(F.sum("size").alias("held"))
     so_far = Window.partitionBy("source").orderBy("q", "id").rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("before", F.coalesce(F.sum("held").over(so_far), F.lit(0)))
-    last = last.join(cut.select("of", "lack"), same(last, cut)).where(F.col("before") + F.col("held") / 2 <= F.col("lack"))
+    last = last.join(cut.select("of", "lack").withColumnRenamed("lack", "left"), last["source"].eqNullSafe(F.col("of"))).where(F.col("before") + F.col("held") / 2 <= F.col("left"))
     edge = last.groupBy("of").agg(F.max(F.struct("q", "id")).alias("edge")).withColumnRenamed("of", "of2")
-    cut = cut.drop("lack").join(edge, cut["of"].eqNullSafe(edge["of2"]), "left").drop("of2")
-    rows = rows.join(cut, same(rows, cut), "left").drop("of")
-    lower = F.col("c1").isNull() | (F.col("b1") < F.col("c1")) | ((F.col("b1") == F.col("c1")) & ((F.col("b2") < F.col("c2")) | ((F.col("b2") == F.col("c2")) & F.coalesce(F.struct("q", "id") <= F.col("edge"), F.lit(False)))))
-    more = F.when(F.col("q").isNotNull() & lower, 1).otherwise(0)
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("whole") + more)).alias("taken"))
+    return plan, kept(cut.drop("lack").join(edge, F.col("of").eqNullSafe(F.col("of2")), "left").drop("of2"), "mix-edge")
+
+
+def _copies(rows: DataFrame, plan: DataFrame, cut: DataFrame, seed: int) -> DataFrame:
+    """rows (id, source, ...) with their source's plan and the number of copies that the mix takes. Both tables have a row for each source, whose rows they meet in a map or a join that may be split."""
+    rows = _ranked(rows, plan, seed)
+    rows = rows.join(cut, _same(rows, cut), "left").drop("of")
+    inside = (F.col("b2") < F.col("c2")) | ((F.col("b2") == F.col("c2")) & F.coalesce(F.struct("q", "id") <= F.col("edge"), F.lit(False)))
+    lower = F.col("c1").isNull() | (F.col("b1") < F.col("c1")) | ((F.col("b1") == F.col("c1")) & inside)
+    return rows.withColumn("copies", F.col("whole") + F.when(F.col("q").isNotNull() & lower, 1).otherwise(0)).drop("whole", "lack", "p", "q", "b1", "b2", "c1", "c2", "edge")
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), max_copies: int = 3, seed: int = 7) -> DataFrame:
+    """One row per row of docs: id, size, source_size, target, taken (words the mix takes of it)."""
+    skinny = kept(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
+    plan, cut = plan_mix(skinny, weights, max_copies, seed)
+    return _copies(skinny, plan, cut, seed).select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), max_copies: int = 3, seed: int = 7) -> DataFrame:
+    """The rows of the mix, with all columns of docs; a row is there as often as it is taken. Texts aren't shuffled."""
+    skinny = kept(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
+    plan, cut = plan_mix(skinny, weights, max_copies, seed)
+    rows = _copies(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), plan, cut, seed)
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, impact_search, language_cnn, mixing, ngram_join, sentencepiece_table, site_tree, suffix_dedup, toxicity
+from . import chaining, exact_dedup, impact_search, language_cnn, mixing, ngram_join, sentencepiece_table, site_tree, suffix_dedup, toxicity
 from .shared import table
 
 
@@ -22,6 +22,10 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
 
+def op1_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_table.encode_decode(table(spark, sf_dir, "documents"), model_path())
 
@@ -44,7 +48,7 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return toxicity.train(docs.where(~held_out()).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id"), "doc_id", "text", "toxic")
+    return toxicity.train(docs, labels.where(~held_out()), "doc_id", "text", "toxic")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_collinear_chaining": op1_collinear_chaining,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_site_tree": op3_site_tree,
     "op4_mix_sources": op4_mix_sources,

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .shared import pieces
+from .shared import bounded_sample, kept, pieces
 
 #: Terms that name groups of people, and the word that stands for none.
 IDENTITY_TERMS = (
@@ -114,11 +114,10 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, twins: list[tuple[np.ndarray
     return w[:n], float(w[n])
 
 
-def train(rows: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = 20_000, n_features: int = 2_000, swaps: int = 3, seed: int = 17) -> Model:
-    """rows: labelled texts to learn from."""
-    rows = rows.where(F.col(label_col).isNotNull())
-    chosen = rows.select(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).alias("h"), F.col(id_col).alias("id")).orderBy("h", "id").limit(sample_rows).distinct()
-    sample = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(label_col) > 0).cast("int").alias("y")).join(F.broadcast(chosen.select("id")), "id")
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = 20_000, n_features: int = 2_000, swaps: int = 3, seed: int = 17) -> Model:
+    """docs: texts; labels: the labels to learn from, by id. The sample is taken of the labels, so that it alone is broadcast and no text is shuffled."""
+    chosen = bounded_sample(labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y")), "id", sample_rows, seed)
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(kept(chosen, "toxicity-sample")), "id")
     tally = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     pos, neg = tally.get(1, 0), tally.get(0, 0)
     if not pos or not neg:
