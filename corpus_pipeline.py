@@ -1,12 +1,59 @@
-"""The corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, mixing, SentencePiece."""
+"""The corpus pipeline: documents go through five of the corpus operators.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor
+kept, and returns a DataFrame; its result is written as Parquet, which the next
+one reads. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lagweave.llm import exact_dedup, mixing, ngram_join, sentencepiece_table, toxicity
+from lagweave.llm.queries import held_out, model_path
+from lagweave.llm.shared import kept, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.not_rejected(docs, toxicity.train(docs, labels.where(~held_out()), "doc_id", "text", "toxic"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id stays."""
+    return exact_dedup.without_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents tied by links of a similarity of 0.8 over shingles of five words, the one with the smallest id stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each document's ids and of what they decode to."""
+    return sentencepiece_table.encode_decode(docs, model_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing", mix),
+    ("sentencepiece", tokenize),
+]
+
+#: SQL can express neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = kept(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
