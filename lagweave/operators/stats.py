@@ -99,9 +99,12 @@ def cluster_permutation_2d(rows: DataFrame, threshold: float, permutations: int,
     flips = sign_flips(rows.select("subject").distinct(), permutations, seed).groupBy("perm").agg(F.sort_array(F.collect_list(F.struct("subject", "flip"))).alias("flips"))
 
     def stack(cube: list) -> tuple[np.ndarray, list, list]:
-        cells = cube[0]["cells"]
-        tn, tm = sorted({c["t_neural"] for c in cells}), sorted({c["t_model"] for c in cells})
-        return np.array([[c["r"] for c in s["cells"]] for s in cube]).reshape(len(cube), len(tn), len(tm)), tn, tm
+        tn, tm = (sorted({c[k] for s in cube for c in s["cells"]}) for k in ("t_neural", "t_model"))
+        x = np.zeros((len(cube), len(tn), len(tm)))  # a subject without a cell counts as 0 there
+        for i, s in enumerate(cube):
+            for c in s["cells"]:
+                x[i, tn.index(c["t_neural"]), tm.index(c["t_model"])] = c["r"]
+        return x, tn, tm
 
     def tvals(x: np.ndarray) -> np.ndarray:
         se = x.std(0, ddof=1) / np.sqrt(len(x))
