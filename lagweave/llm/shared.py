@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a worker scans at a time; its arrays need some 80 times as much.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -44,7 +44,7 @@ from .suffix_group import _ranges, suffix_arrays
 GRAM = 32
 PARTS = 4
 #: Text bytes of the documents that one task holds.
-TASK_BYTES = 8 << 20
+TASK_BYTES = 4 << 20
 _NULL = -(1 << 63)
 _PLACE = np.dtype([("d", "<i8"), ("t", "<u4"), ("p", "<i4")])
 _SPAN = np.dtype([("d", "<i8"), ("t", "<u4"), ("a", "<i4"), ("b", "<i4")])
@@ -300,7 +300,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    owners = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES + 1)
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES + 1)
     found = kept(classes(scan(texts, length, owners), length, owners), "suffix-classes")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
