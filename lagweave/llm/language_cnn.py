@@ -60,8 +60,9 @@ class ByteNet:
             kept.append((cols, at))
         return np.concatenate(pooled, axis=1), kept
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 4e-3, seed: int = 5) -> ByteNet:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, steps: int = 1000, batch: int = 64, rate: float = 4e-3, seed: int = 5) -> ByteNet:
         rng, step = np.random.default_rng(seed), 0
+        epochs = max(epochs, -(-steps * batch // max(len(x), 1)))
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         dim = self.p["E"].shape[1]
