@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces
+from .shared import kept, pieces
 
 #: Fixed values of HTML: elements without content, elements of raw text, blocks, and which open elements a start tag ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -219,7 +219,7 @@ def removed_nodes(pages: DataFrame, threshold: float, min_pages: int, gamma: flo
 
     rows = pages.mapInArrow(run, "host string, page bigint, path bigint, kind int, feature bigint")
     # Copies of a page count once: a (page, path, kind, feature) is one row. Then pages of each feature.
-    used = rows.distinct().groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("k"))
+    used = kept(rows.distinct().groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("k")), "site-features")
     m = F.col("m").cast("double")
     k = F.col("k").cast("double")
     on = used.where("kind = 0").groupBy("host", "path").agg(F.sum("k").alias("m0"), F.count(F.lit(1)).alias("styles"), F.sum(k * F.log(k)).alias("klogk"))
