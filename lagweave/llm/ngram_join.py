@@ -9,7 +9,7 @@ with equal sets are one class from the start.
    first. Classes of one column whose sizes allow a link are paired; in a column
    of more than ``MANY`` classes, those next to each other in size are chained
    instead, so that no column emits all its pairs.
-2. Bounds: parities of 512 hash bits bound the symmetric difference from below,
+2. Bounds: parities of hash bits bound the symmetric difference from below,
    and sizes bound the one that a link allows from above; other pairs go.
 3. Blocks: what is still tied together is a block of rows (large ones are cut
    and meet in a grid of block pairs). In a block, a row is multiplied with all
@@ -43,7 +43,8 @@ from .shared import kept, pieces
 MANY = 32
 #: Frequent n-grams that are known by name when columns are ordered: a bound on what is broadcast (8 MB). Any order gives the same links.
 KNOWN = 1_000_000
-BLOCK = 2048
+#: Rows, and n-grams of all rows, of a block that one task holds.
+BLOCK, TASK_COLUMNS = 2048, 500_000
 #: Columns whose hash is in the lowest quarter come first; of these the counts are known.
 LOW = np.uint64(1 << 62)
 _POSTING = np.dtype([("t", "<u8"), ("id", "<i8"), ("n", "<i4")])
@@ -59,16 +60,45 @@ def sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, r, np.bincount(r, minlength=len(offsets) - 1)
 
 
+def sets_of(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`sets` of a column of any size, a slice at a time."""
+    parts, at = [], 0
+    for part in pieces(iter([pa.RecordBatch.from_arrays([column], ["text"])]), 0, 1 << 20):
+        h, row, n = sets(part.column(0), k)
+        parts.append((h, row + at, n))
+        at += part.num_rows
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def at_least(n: np.ndarray, num: int, den: int) -> np.ndarray:
     """The smallest overlap that lets a set of n reach the similarity num / den."""
     return -(-n * num // den)
 
 
-def parity(h: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
-    """n_rows x 8 words: parities of the 512 classes of each row's hashes."""
-    bit = (B.mix(h) >> np.uint64(55)).astype(np.int64)
-    odd = np.bincount(row * 512 + bit, minlength=n_rows * 512).reshape(n_rows, 512) & 1
-    return np.packbits(odd.astype(np.uint8), axis=1).view(np.uint64).reshape(n_rows, 8)
+def parity(h: np.ndarray, row: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Of each row, the parities of m classes of its hashes, as bits: m is a power of two, 512 at least and the set's size at least."""
+    m = np.maximum(512, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    at = (B.mix(h) >> np.uint64(32)).astype(np.int64)
+    out: list[bytes] = [b""] * len(n)
+    for width in np.unique(m):
+        rows = np.flatnonzero(m == width)
+        place = np.full(len(n), -1)
+        place[rows] = np.arange(len(rows))
+        own = place[row] >= 0
+        odd = np.bincount(place[row[own]] * width + (at[own] & (width - 1)), minlength=len(rows) * width).reshape(len(rows), width) & 1
+        for r, bits in zip(rows, np.packbits(odd.astype(np.uint8), axis=1), strict=True):
+            out[r] = bits.tobytes()
+    return out
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """A lower bound of two sets' symmetric difference: parities that differ, the longer row folded to the shorter one's length."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) > len(b):
+        a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def split_by(keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -116,7 +146,7 @@ def frequent(packed: DataFrame) -> np.ndarray:
 
 
 def columns(docs: DataFrame, k: int, num: int, den: int, known: np.ndarray) -> DataFrame:
-    """id, n, p0..p7 (parities), first (packed hashes that pairs may share first), heavy (those of frequent ones)."""
+    """id, n, bits (parities), first (packed hashes that pairs may share first), heavy (those of frequent ones)."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +157,7 @@ def columns(docs: DataFrame, k: int, num: int, den: int, known: np.ndarray) -> D
             if len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 kind[known[at] == h] = 2
-            bits = parity(h, row, len(n))
+            bits = parity(h, row, n)
             order = np.lexsort((h, kind, row))
             h, row, kind = h[order], row[order], kind[order]
             rank = np.arange(len(h)) - (np.cumsum(n) - n)[row]
@@ -135,9 +165,9 @@ def columns(docs: DataFrame, k: int, num: int, den: int, known: np.ndarray) -> D
             h, row, kind = h[first], row[first], kind[first]
             light, heavy = kind < 2, kind == 2
             cut = lambda ok: [x.tobytes() for x in np.split(h[ok], np.cumsum(np.bincount(row[ok], minlength=len(n)))[:-1])]  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), *[pa.array(np.ascontiguousarray(bits[:, j]).view(np.int64)) for j in range(8)], pa.array(cut(light), pa.binary()), pa.array(cut(heavy), pa.binary())], ["id", "n", *[f"p{j}" for j in range(8)], "first", "heavy"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(bits, pa.binary()), pa.array(cut(light), pa.binary()), pa.array(cut(heavy), pa.binary())], ["id", "n", "bits", "first", "heavy"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, " + ", ".join(f"p{j} bigint" for j in range(8)) + ", first binary, heavy binary")
+    return docs.mapInArrow(run, "id bigint, n bigint, bits binary, first binary, heavy binary")
 
 
 def candidates(cols: DataFrame, num: int, den: int, ranges: int) -> DataFrame:
@@ -188,20 +218,27 @@ def candidates(cols: DataFrame, num: int, den: int, ranges: int) -> DataFrame:
 
 def bounded(pairs: DataFrame, cols: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that sizes and parities allow; chained ones stay."""
-    side = lambda s: cols.select(F.col("id").alias(s), F.col("n").alias(f"{s}_n"), *[F.col(f"p{j}").alias(f"{s}{j}") for j in range(8)])
-    sure = pairs.where("chained").select("a", "b")
+    side = lambda s: cols.select(F.col("id").alias(s), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            total = part.column(2).to_numpy() + part.column(4).to_numpy()
+            most = total - 2 * at_least(total, num, num + den)
+            differ = np.array([apart(x, y) for x, y in zip(part.column(3).to_pylist(), part.column(5).to_pylist(), strict=True)], np.int64)
+            yield part.select([0, 1]).filter(pa.array(differ <= most))
+
     rest = pairs.where("not chained").select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    total = F.col("a_n") + F.col("b_n")
-    least = F.ceil(total * num / (num + den))
-    apart = sum((F.bit_count(F.col(f"a{j}").bitwiseXOR(F.col(f"b{j}"))) for j in range(8)), F.lit(0))
-    return sure.unionByName(rest.where(apart <= total - 2 * least).select("a", "b"))
+    near = rest.select("a", "b", "a_n", "a_bits", "b_n", "b_bits").mapInArrow(run, "a bigint, b bigint")
+    return pairs.where("chained").select("a", "b").unionByName(near)
 
 
 def multiply(ids: np.ndarray, group: np.ndarray, side: np.ndarray, column: pa.Array, k: int, num: int, den: int) -> tuple[list[int], list[int]]:
     """Links that tie together what the full sparse product of each group's rows links; a block pair multiplies one side with the other."""
-    h, row, n = sets(column, k)
-    bits = parity(h, row, len(n))
+    h, row, n = sets_of(column, k)
     first = np.cumsum(n) - n
+    at = (B.mix(h) >> np.uint64(55)).astype(np.int64)
+    odd = np.packbits((np.bincount(row * 512 + at, minlength=len(n) * 512).reshape(len(n), 512) & 1).astype(np.uint8), axis=1)
+    bits = odd.view(np.uint64).reshape(len(n), 8)
     out_a, out_b = [], []
     order = np.lexsort((ids, n, group))
     cut = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
@@ -239,22 +276,24 @@ def multiply(ids: np.ndarray, group: np.ndarray, side: np.ndarray, column: pa.Ar
     return out_a, out_b
 
 
-def links(docs: DataFrame, tied: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """a, b: a forest of the links among the rows of each block of tied (node, component)."""
-    sizes = tied.groupBy("component").count()
-    n = tied.count()
-    buckets = max(1, n // 1000)
-    large = F.col("count") > BLOCK
-    parts = F.ceil(F.col("count") / (BLOCK // 2)).cast("long")
+def links(docs: DataFrame, tied: DataFrame, cols: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """a, b: a forest of the links among the rows of each block of tied (node, component); cols has the sizes of their sets."""
+    tied = kept(tied.join(cols.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n")), "node"), "ngram-tied")
+    sizes = tied.groupBy("component").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("held"))
+    total = tied.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, total // TASK_COLUMNS)
+    parts = F.greatest(F.ceil(F.col("count") / (BLOCK // 2)), F.ceil(F.col("held") / (TASK_COLUMNS // 2))).cast("long")
+    large = (F.col("count") > BLOCK) | (F.col("held") > TASK_COLUMNS)
     part = F.pmod(F.xxhash64("node"), parts)
     mates = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda x: F.struct(F.least(x, part).alias("i"), F.greatest(x, part).alias("j")))
     spread = tied.join(sizes, "component").select(
         "node", "component",
         F.when(large, part).otherwise(0).alias("part"),
-        F.when(large, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(buckets)) - buckets).alias("key"),
+        F.when(large, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(buckets))).alias("key"),
+        large.alias("big"),
         F.explode(F.when(large, mates).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))))).alias("cell"),
     )
-    rows = docs.join(spread, docs["id"] == spread["node"]).select("id", "text", "component", "part", F.when(large_key(), 1).otherwise(0).alias("big"), "key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"))
+    rows = docs.join(spread, docs["id"] == spread["node"]).select("id", "text", "component", "part", "big", "key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"))
 
     def run(t):  # noqa: ANN001, ANN202
         out_a: list[int] = []
@@ -269,11 +308,6 @@ def links(docs: DataFrame, tied: DataFrame, k: int, num: int, den: int) -> DataF
     return rows.groupBy("big", "key", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def large_key():  # noqa: ANN201
-    """Keys of large components are their own ids; those of buckets are negative."""
-    return F.col("key") >= 0
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the smallest id reachable by links of a Jaccard similarity of num / den or more)."""
     spark = docs.sparkSession
@@ -288,7 +322,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cols = kept(cols.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "ngram-columns")
     near = bounded(candidates(cols, num, den, ranges), cols, num, den)
     tied = components(near, "ngram-blocks")
-    found = components(links(filled, tied, k, num, den), "ngram-links")
+    found = components(links(filled, tied, cols, k, num, den), "ngram-links")
     out = rows.join(classes, ["n", "f1", "f2"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
 
