@@ -168,6 +168,24 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(out).count() == 5
 
 
+def test_binary_files(spark, tmp_path):
+    import wave
+
+    from lagweave.sources import files
+
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(2)
+        w.setframerate(100)
+        w.writeframes(np.array([[16384, 0], [0, -16384]], np.int16).tobytes())
+    r = files.wav_scan(spark, str(tmp_path / "a.wav")).collect()[0]
+    assert r["rate"] == 100 and r["samples"] == [0.25, -0.25]
+    np.save(tmp_path / "m.npy", np.arange(6, dtype=np.float32).reshape(2, 3))
+    assert [r["features"] for r in files.npy_scan(spark, str(tmp_path / "m.npy")).orderBy("t").collect()] == [[0, 3], [1, 4], [2, 5]]
+    (tmp_path / "p.csv").write_text("phoneme,phonation\nAA,v\nP,uv\nSIL,s\n")
+    assert {r["phoneme"]: r["voicing"] for r in files.voicing_table(spark, str(tmp_path / "p.csv")).collect()} == {"aa": 1, "p": -1}
+
+
 def test_stream_of_bins(spark, sf_dir, tmp_path):
     from lagweave.streaming.ingest import binned
 
