@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS, CANDIDATES, QUERIES = 16, 16_384, 128
+#: Steps of a dimension; vectors of a block of candidates, and of a block of queries where there are many.
+LEVELS, CANDIDATES, QUERIES = 16, 16_384, 16_384
 
 
 class Block:
@@ -114,7 +115,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     rank_schema = f"query_id bigint, rank int, `{id_col}` bigint, score bigint"
     if not n or not n_q:
         return vectors.sparkSession.createDataFrame([], rank_schema)
-    n_c, n_b = math.ceil(n / CANDIDATES), math.ceil(n_q / QUERIES)
+    # Few queries are still cut into some blocks, for tasks to work side by side.
+    n_c, n_b = math.ceil(n / CANDIDATES), max(math.ceil(n_q / QUERIES), min(8, math.ceil(n_q / 128)))
 
     def packed(rows: DataFrame, name: str, blocks: int) -> DataFrame:
         """One row a block: its ids and integers as bytes."""
