@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .shared import bounded_sample, pieces
+from .shared import bounded_sample, pieces, small_batches
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -197,4 +197,4 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
                 name, top = ["und"] * part.num_rows, np.zeros(part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(name, pa.string()), pa.array(np.where([x != "und" for x in name], top, 0.0), pa.float64())], [id_col, pred_col, "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, `{pred_col}` string, score double")
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {id_type}, `{pred_col}` string, score double")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .graph import components
-from .shared import kept, pieces
+from .shared import PACKED_BYTES, kept, pieces, small_batches
 
 MANY = 32
 #: Frequent n-grams that are known by name when columns are ordered: a bound on what is broadcast (8 MB). Any order gives the same links.
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, k: int, ranges: int) -> DataFrame:
     """One scan: rows (id, n, f1, f2), and rows (range, packed) of the low hashes of a slice of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, 1):
+        for part in pieces(batches, 1, PACKED_BYTES):
             h, row, n = sets(part.column(1), k)
             m = part.num_rows
             f1, f2 = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
@@ -129,7 +129,7 @@ def signatures(docs: DataFrame, k: int, ranges: int) -> DataFrame:
             if own:
                 yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([x for x, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary())], ["id", "n", "f1", "f2", "r", "packed"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, r bigint, packed binary")
+    return small_batches(docs).mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, r bigint, packed binary")
 
 
 def frequent(packed: DataFrame) -> np.ndarray:
@@ -167,7 +167,7 @@ def columns(docs: DataFrame, k: int, num: int, den: int, known: np.ndarray) -> D
             cut = lambda ok: [x.tobytes() for x in np.split(h[ok], np.cumsum(np.bincount(row[ok], minlength=len(n)))[:-1])]  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(bits, pa.binary()), pa.array(cut(light), pa.binary()), pa.array(cut(heavy), pa.binary())], ["id", "n", "bits", "first", "heavy"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, bits binary, first binary, heavy binary")
+    return small_batches(docs).mapInArrow(run, "id bigint, n bigint, bits binary, first binary, heavy binary")
 
 
 def candidates(cols: DataFrame, num: int, den: int, ranges: int) -> DataFrame:

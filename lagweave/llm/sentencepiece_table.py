@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import pieces
+from .shared import pieces, small_batches
 
 SPACE = "▁"
 #: Cuts and pairs that a worker keeps; beyond, it begins anew.
@@ -262,4 +262,4 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]], [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if with_ids else 4])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, schema)

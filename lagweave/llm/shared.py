@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a worker scans at a time; its arrays need some 80 times as much.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
+#: The same for scans that deal out packed rows by range, which are fewer and larger then.
+PACKED_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +60,14 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, for Python to get in batches of some 4 MB: texts are long, and a batch stands in memory several times. A limit that the session sets itself is left alone."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") == "67108864b":
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .shared import bounded_sample, kept, pieces
+from .shared import bounded_sample, kept, pieces, small_batches
 
 #: Terms that name groups of people, and the word that stands for none.
 IDENTITY_TERMS = (
@@ -117,7 +117,7 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, twins: list[tuple[np.ndarray
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = 20_000, n_features: int = 2_000, swaps: int = 3, seed: int = 17) -> Model:
     """docs: texts; labels: the labels to learn from, by id. The sample is taken of the labels, so that it alone is broadcast and no text is shuffled."""
     chosen = bounded_sample(labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y")), "id", sample_rows, seed)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(kept(chosen, "toxicity-sample")), "id")
+    sample = kept(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(kept(chosen, "toxicity-labels")), "id"), "toxicity-sample")
     tally = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     pos, neg = tally.get(1, 0), tally.get(0, 0)
     if not pos or not neg:
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             up = np.bincount(back, y[row], len(u)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(up), pa.array(np.bincount(back, minlength=len(u)) - up)], ["f", "p", "n"])
 
-    rates = sample.select("text", "y").mapInArrow(counted, "f bigint, p bigint, n bigint").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where("p + n >= 3")
+    rates = small_batches(sample.select("text", "y")).mapInArrow(counted, "f bigint, p bigint, n bigint").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where("p + n >= 3")
     both = (F.col("p") + F.col("n")) / float(pos + neg)
     z = F.abs(F.col("p") / float(pos) - F.col("n") / float(neg)) / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)) * (1 / pos + 1 / neg))
     best = [r["f"] for r in rates.withColumn("z", z).where("z >= 4").orderBy(F.desc("z"), "f").limit(n_features).collect()]
@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             s = shared.value.scores(*B.flat(part.column(1)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [id_col, "score", "predicted"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, score double, predicted int")
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {id_type}, score double, predicted int")
 
 
 def not_rejected(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -181,4 +181,4 @@ def not_rejected(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
             keep = shared.value.scores(*B.flat(part.column(at))) < 0.5
             yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
