@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .ngram_join import split_by
-from .shared import kept, pieces
+from .shared import PACKED_BYTES, kept, pieces, small_batches
 from .suffix_group import _ranges, suffix_arrays
 
 GRAM = 32
@@ -94,31 +94,52 @@ def _pack(keys: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table | None:
 
 
 def _unpack(t: pa.Table, name: str, kind) -> np.ndarray:  # noqa: ANN001
-    return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
+    return np.frombuffer(b"".join(x for x in t.column(name).to_pylist() if x is not None), kind)
 
 
 def scan(docs: DataFrame, length: int, ranges: int) -> DataFrame:
-    """Packed anchors by range of their hash: h, c (context), d, t, p, n (bytes of the text)."""
+    """Packed anchors by range of their hash: h, c (context), d, t, p, n (bytes of the text); and packed spans.
+
+    A place whose context stands earlier in the same slice of texts is a repeat: it
+    goes on as a span, by its document. So a context with any number of places is
+    one row of each slice where it meets others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, 1, 2 << 20):
+        names = ["r", "h", "c", "d", "t", "p", "n", "spans"]
+        for part in pieces(batches, 1, PACKED_BYTES):
             data, offsets = B.flat(part.column(1))
             sums = B.prefix_hash(data)
             h, pos, row = anchors(data, offsets, sums, length)
             start = np.maximum(pos - (length - GRAM), offsets[row])
-            c = B.span_hash(sums, start, np.minimum(pos + length, offsets[row + 1])) + (pos - start).astype(np.uint64)
-            d, t = _ids(part.column(0)), _text_hash(sums, offsets)
-            packed = _pack((B.mix(h) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), {"h": h, "c": c, "d": d[row], "t": t[row], "p": (pos - offsets[row]).astype(np.int32), "n": np.diff(offsets)[row].astype(np.int32)})
+            stop = np.minimum(pos + length, offsets[row + 1])
+            c = B.span_hash(sums, start, stop) + (pos - start).astype(np.uint64)
+            d, t = _ids(part.column(0))[row], _text_hash(sums, offsets)[row]
+            o = np.lexsort((pos - offsets[row], t, d, c, h))
+            new = np.ones(len(o), bool)
+            new[1:] = (h[o][1:] != h[o][:-1]) | (c[o][1:] != c[o][:-1])
+            lead = o[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))] if len(o) else o
+            at = pos - offsets[row]
+            twin = (d[o] == d[lead]) & (t[o] == t[lead]) & (at[o] == at[lead])  # the same place, of a row that is there twice
+            first, again = np.sort(o[new]), o[~new & ~twin]
+            spans = np.zeros(len(again), _SPAN)
+            spans["d"], spans["t"], spans["a"], spans["b"] = d[again], t[again], (start - offsets[row])[again], (stop - offsets[row])[again]
+            packed = _pack((B.mix(h[first]) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), {"h": h[first], "c": c[first], "d": d[first], "t": t[first], "p": at[first].astype(np.int32), "n": np.diff(offsets)[row][first].astype(np.int32)})
             if packed:
-                yield from packed.to_batches()
+                yield from packed.append_column("spans", pa.nulls(packed.num_rows, pa.binary())).to_batches()
+            own = list(split_by(_owner(spans["d"].copy(), ranges), spans))
+            if own:
+                none = pa.nulls(len(own), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), *[none] * 6, pa.array([x for _, x in own], pa.binary())], names)
 
-    return docs.mapInArrow(run, "r bigint, h binary, c binary, d binary, t binary, p binary, n binary")
+    return small_batches(docs).mapInArrow(run, "r bigint, h binary, c binary, d binary, t binary, p binary, n binary, spans binary")
 
 
 def classes(packed: DataFrame, length: int, owners: int) -> DataFrame:
     """Of each document owner: spans (repeats known already) and asked (first places of the classes of hashes that have several)."""
 
     def run(t):  # noqa: ANN001, ANN202
+        known = _unpack(t, "spans", _SPAN)
         h, c, d, th, p, n = (_unpack(t, x, k) for x, k in (("h", np.uint64), ("c", np.uint64), ("d", np.int64), ("t", np.uint32), ("p", np.int32), ("n", np.int32)))
         o = np.lexsort((p, th, d, c, h))
         h, c, d, th, p, n = h[o], c[o], d[o], th[o], p[o], n[o]
@@ -131,11 +152,12 @@ def classes(packed: DataFrame, length: int, owners: int) -> DataFrame:
         # Rows that are one document and one place aren't repeats of each other.
         twin = np.zeros(len(h), bool)
         twin[1:] = ~new_c[1:] & (d[1:] == d[:-1]) & (th[1:] == th[:-1]) & (p[1:] == p[:-1])
-        lead = np.maximum.accumulate(np.where(new_c, np.arange(len(h)), 0))
+        lead = np.maximum.accumulate(np.where(new_c, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
         first = (d == d[lead]) & (th == th[lead]) & (p == p[lead])
         rep = ~first & ~twin
         spans = np.zeros(int(rep.sum()), _SPAN)
         spans["d"], spans["t"], spans["a"], spans["b"] = d[rep], th[rep], np.maximum(p[rep] - (length - GRAM), 0), np.minimum(p[rep] + length, n[rep])
+        spans = np.concatenate([known, spans])
         ask = new_c & several
         asked = np.zeros(int(ask.sum()), _PLACE)
         asked["d"], asked["t"], asked["p"] = d[ask], th[ask], p[ask]
