@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept, pieces
+from .shared import kept, pieces, small_batches
 
 #: Fixed values of HTML: elements without content, elements of raw text, blocks, and which open elements a start tag ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -217,7 +217,7 @@ def removed_nodes(pages: DataFrame, threshold: float, min_pages: int, gamma: flo
                 signed = lambda c: pa.array([x - (1 << 64) if x >> 63 else x for x in c], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), signed(cols[1]), signed(cols[2]), pa.array(cols[3], pa.int32()), signed(cols[4])], ["host", "page", "path", "kind", "feature"])
 
-    rows = pages.mapInArrow(run, "host string, page bigint, path bigint, kind int, feature bigint")
+    rows = small_batches(pages).mapInArrow(run, "host string, page bigint, path bigint, kind int, feature bigint")
     # Copies of a page count once: a (page, path, kind, feature) is one row. Then pages of each feature.
     used = kept(rows.distinct().groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("k")), "site-features")
     m = F.col("m").cast("double")
@@ -242,7 +242,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per row of pages: id, url, text, n_chars (code points)."""
     id_type = dict(pages.dtypes)[id_col]
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    low = removed_nodes(rows.select("host", "html"), threshold, min_pages).withColumnRenamed("host", "of")
+    # Written first, so that its size is known: small, it goes to every task and no page is shuffled.
+    low = kept(removed_nodes(rows.select("host", "html"), threshold, min_pages).withColumnRenamed("host", "of"), "site-removed")
     told = rows.join(low, F.col("host") == F.col("of"), "left").select("id", "url", "html", "removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
