@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Text bytes that a worker scans at a time; its arrays need some 80 times as much.
 PIECE_BYTES = 1 << 19
 #: The same for scans that deal out packed rows by range, which are fewer and larger then.
-PACKED_BYTES = 2 << 20
+PACKED_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
