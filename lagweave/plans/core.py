@@ -10,7 +10,7 @@ from ..operators import regress as G
 from ..operators import rsa as S
 from ..operators import windows as Win
 from . import domain as D
-from .domain import CURVE, EV, LENGTH, MASK, MODEL, NEURAL, POINTS, REACH, WIN, r6
+from .domain import EV, LENGTH, MASK, MODEL, NEURAL, POINTS, REACH, WIN, r6
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

@@ -12,7 +12,6 @@ from ..operators import features as Ft
 from ..operators import rsa as S
 from ..operators import stats as St
 from ..operators import timegrid as T
-from ..operators import windows as Win
 from ..sources import sinks
 from ..sources import tables as Src
 from ..sources.tables import table
