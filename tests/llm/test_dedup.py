@@ -195,6 +195,16 @@ def test_chain_is_the_best():
         assert tree.most(j) == max([v for i, v in held.items() if i < j], default=(-1e18, -1))
 
 
+def test_chain_goes_on_after_a_long_piece():
+    # A long shared passage, 100 words of each text's own, then pieces of 14 words with a word missing between them.
+    x = np.array([0, *(600 + 15 * k for k in range(7))])
+    y = np.array([0, *(600 + 14 * k for k in range(7))])
+    n = np.array([500, *[14] * 7])
+    assert chain(x, y, n, 20) == [[0], [1, 2, 3, 4, 5, 6, 7]]
+    # The largest score in reach counts, though one out of reach in the second text only is larger.
+    assert chain(np.array([0, 100, 120]), np.array([0, 300, 320]), np.array([100, 15, 15]), 20) == [[0], [1, 2]]
+
+
 def test_align():
     u = np.arange(100).astype(np.uint64)
     v = np.concatenate([u[:40], [7000], u[41:70], u[72:]]).astype(np.uint64)
