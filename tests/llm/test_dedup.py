@@ -205,6 +205,43 @@ def test_chain_goes_on_after_a_long_piece():
     assert chain(np.array([0, 100, 120]), np.array([0, 300, 320]), np.array([100, 15, 15]), 20) == [[0], [1, 2]]
 
 
+def test_passages_of_edited_copies_of_one_text(spark, monkeypatch):
+    from lagweave.llm import chaining
+
+    base = [f"b{i}" for i in range(100)]
+    rows = [(50, " ".join(base))]
+    for i in [*range(40), *range(60, 100)]:
+        j = 3 + i * 7 % 80  # the copies differ from the first by 15 words, most of them from each other by 30
+        rows.append((i, " ".join(base[:j] + [f"x{i}_{k}" for k in range(15)] + base[j + 15 :])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["match_id"]) for r in passages(df).collect()}
+    assert {(max(i, 50), min(i, 50)) for i, _ in rows[1:]} <= got
+    monkeypatch.setattr(chaining, "BLOCK", 8)  # many block pairs
+    assert {(r["doc_id"], r["match_id"]) for r in passages(df).collect()} == got
+
+
+def test_runs_of_places():
+    from lagweave.llm.chaining import _crossed, _runs
+
+    h = np.array([1, 1, 1, 1, 1, 2, 2, 3], np.uint64)
+    f = np.array([7, 7, 7, 7, 8, 8, 8, 8])
+    p = np.array([0, 2, 4, 90, 3, 5, 30, 6])
+    at, step, count = _runs(h, f, p)
+    covered = sorted((int(h[a]), int(f[a]), int(p[a] + k * s)) for a, s, c in zip(at, step, count, strict=True) for k in range(c))
+    assert covered == sorted(zip(h.tolist(), f.tolist(), p.tolist(), strict=True)) and count[0] == 3
+    for _ in range(300):
+        rng = random.Random(_)
+        q = np.cumsum([rng.choice([1, 2, 2, 2, 5, 9]) for _ in range(12)])
+        one, own = np.ones(12, np.uint64), np.array([rng.randint(0, 1)] * 6 + [1] * 6)
+        at, step, count = _runs(one, own, q)
+        assert [int(q[a] + k * s) for a, s, c in zip(at, step, count, strict=True) for k in range(c)] == q.tolist()
+    side = lambda f, p, s, c: {"f": np.array([f]), "p": np.array([p]), "s": np.array([s]), "c": np.array([c])}
+    zero = np.zeros(1, np.int64)
+    pairs = lambda a, b: {z for m in _crossed(a, zero, b, zero) for z in zip(m["x"].tolist(), m["y"].tolist(), strict=True)}
+    assert pairs(side(1, 10, 2, 3), side(2, 50, 2, 4)) == {(10, 50), (12, 52), (14, 54), (14, 56), (12, 54), (10, 52)}
+    assert pairs(side(1, 10, 0, 1), side(2, 50, 2, 3)) == {(10, 50), (10, 52), (10, 54)}
+
+
 def test_align():
     u = np.arange(100).astype(np.uint64)
     v = np.concatenate([u[:40], [7000], u[41:70], u[72:]]).astype(np.uint64)
