@@ -7,9 +7,14 @@ the node vary from page to page. Content: how little each text under the node is
 spread evenly over the pages. Inner nodes weigh both, with the weight of the
 children falling as there are more of them. Branches whose importance stays under
 ``threshold`` on at least ``min_pages`` pages are the site's own and are removed
-from each page; so are elements whose name, role or class says that they are menus,
-notices, adverts, forms, comments and the like, which also serves hosts of a few
-pages. Where a page has an article or main element, its text is there.
+from each page. Fewer pages, m, show less: there such a branch goes where it is
+outside of article and main elements and has less than m / min_pages of the page's
+prose (text outside of links). Elements whose tag or role says that they are menus,
+forms and the like, or which are hidden, go. Class and id words of notices,
+adverts, comments and the like are a prior only: a branch with one stays if its
+importance (1 where the host has no other page with it) times its share of the
+page's prose is ``NAMED`` or more. Where a page has an article or main element, its
+text is there.
 
 Statistics cover all pages and are pre-aggregated; what a page needs back is its
 host's list of removed nodes, joined by host, so that one host with a third of all
@@ -46,6 +51,9 @@ NOISE_TAGS = frozenset("nav footer aside form button select input label dialog m
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments comentarios commentaires consent cookie cookies disclaimer discussion disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pagination paywall popup promo promotion recommended related replies reply responses share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget".split())
 
+#: Importance times share of the page's prose from which a branch with such a word stays.
+NAMED = 0.1
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORDS = re.compile(r"[^a-z]+")
@@ -57,10 +65,10 @@ def _hash(parent: int, *parts: str) -> int:
 
 
 class Node:
-    __slots__ = ("block", "children", "name", "noise", "path", "main")
+    __slots__ = ("block", "children", "name", "named", "noise", "path", "main")
 
-    def __init__(self, name: str, path: int, noise: bool, main: bool):
-        self.name, self.path, self.noise, self.main = name, path, noise, main
+    def __init__(self, name: str, path: int, noise: bool, main: bool, named: bool = False):
+        self.name, self.path, self.noise, self.main, self.named = name, path, noise, main, named
         self.block = name in BLOCKS
         self.children: list[str] = []
 
@@ -76,8 +84,12 @@ def _is_noise(name: str, attrs: dict[str, str], main: bool) -> bool:
         return True
     if not attrs:
         return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in NOISE_ROLES or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in NOISE_ROLES or bool(re.search(r"display\s*:\s*none", attrs.get("style", "")))
+
+
+def _is_named(name: str, attrs: dict[str, str], main: bool) -> bool:
+    if not attrs:
+        return False
     if name in ("html", "body", "article", "main") and not main and name != "article":
         return False
     words = {w for a in ("class", "id") for w in _WORDS.split(_CAMEL.sub(" ", attrs.get(a, "")).lower())}
@@ -138,7 +150,7 @@ def parse(html: str) -> Iterator[tuple[Node, list[Node], str | None]]:
         kind = " ".join(sorted(re.sub(r"\d+", "", attrs.get("class", "")).split()))
         main = up.main or (name in ("article", "main") and not up.noise)
         noise = up.noise or _is_noise(name, attrs, up.main)
-        node = Node(name, _hash(up.path, name, kind), noise, main and not noise)
+        node = Node(name, _hash(up.path, name, kind), noise, main and not noise, _is_named(name, attrs, up.main))
         up.children.append(f"{name}.{kind}" if kind else name)
         if name in VOID or raw.endswith("/"):
             if name in BLOCKS or name == "br":
@@ -154,12 +166,14 @@ def parse(html: str) -> Iterator[tuple[Node, list[Node], str | None]]:
 
 
 def page_features(html: str) -> tuple[list[tuple[int, int, int]], int]:
-    """(path, kind, feature) of a page's nodes: kind 0 child sequences, kind 1 texts, kind 2 the parent's path; and a hash of them all."""
+    """(path, kind, feature) of a page's nodes: kind 0 child sequences, kind 1 texts, kind 2 the parent's path, kind 3 one of NOISE_WORDS; and a hash of them all."""
     out: set[tuple[int, int, int]] = set()
     for node, stack, text in parse(html):
         if text is None:
             out.add((node.path, 0, _hash(1, *node.children)))
             out.update((node.path, 2, up.path) for up in stack)
+            if node.named:
+                out.add((node.path, 3, 0))
             continue
         words = " ".join(unescape(text).split())
         if words:
@@ -168,33 +182,57 @@ def page_features(html: str) -> tuple[list[tuple[int, int, int]], int]:
     return rows, _hash(3, repr(rows))
 
 
-def main_text(html: str, removed: frozenset[int] = frozenset()) -> str:
-    """The page's main text without the nodes whose paths are in removed."""
-    blocks: dict[bool, list[str]] = {True: [], False: []}
+def main_text(html: str, host: dict[int, tuple[float, float]] | None = None) -> str:
+    """The page's main text; host: by path, the shares of the page's prose under which a branch goes for what the site's pages show (above 1: always), and for its name."""
+    host = host or {}
+    items: list[tuple | None] = []
+    held: dict[Node, int] = {}
+    total = 0
+    for node, stack, text in parse(html):
+        if text is None:
+            if node.block:
+                items.append(None)
+            continue
+        if any(x.noise or (x.path in host and host[x.path][0] > 1) for x in (node, *stack)):
+            continue
+        text = " " if node.name == "br" and text == "\n" else unescape(text)
+        prose = 0 if any(x.name == "a" for x in stack) else len(" ".join(text.split()))
+        total += prose
+        doubtful = [x for x in stack if x.named or x.path in host]
+        for x in doubtful:
+            held[x] = held.get(x, 0) + prose
+        items.append((text, prose, next((x for x in reversed(stack) if x.block), stack[0]), stack[-1].main, doubtful))
+    gone = set()
+    for x, prose in held.items():
+        share = prose / total if total else 0.0
+        site, name = host.get(x.path, (0.0, NAMED))
+        if (x.named and share < name) or (not x.main and share < site):
+            gone.add(x)
+    blocks: list[tuple[bool, str]] = []
     parts: list[str] = []
     is_main = False
 
     def flush() -> None:
         words = " ".join("".join(parts).split())
         if words:
-            blocks[is_main].append(words)
+            blocks.append((is_main, words))
         parts.clear()
 
     owner: Node | None = None
-    for node, stack, text in parse(html):
-        if text is None:
-            if node.block:
-                flush()
+    for item in items:
+        if item is None:
+            flush()
             continue
-        if any(x.noise or x.path in removed for x in (node, *stack)):
+        text, prose, block, main, doubtful = item
+        if gone and any(x in gone for x in doubtful):
             continue
-        block = next((x for x in reversed(stack) if x.block), stack[0])
         if block is not owner:
             flush()
-            owner, is_main = block, stack[-1].main
-        parts.append(" " if node.name == "br" and text == "\n" else unescape(text))
+            owner, is_main = block, main
+        parts.append(text)
     flush()
-    return "\n\n".join(blocks[True] or blocks[False])
+    only = any(main for main, _ in blocks)
+    return "\n\n".join(words for main, words in blocks if main or not only)
 
 
 def host_of(url: Column) -> Column:
@@ -202,7 +240,7 @@ def host_of(url: Column) -> Column:
 
 
 def removed_nodes(pages: DataFrame, threshold: float, min_pages: int, gamma: float = 0.9) -> DataFrame:
-    """host, removed (paths) of the hosts that have such nodes; pages: host, html."""
+    """host, removed (path, site, name: see :func:`main_text`) of the hosts that have such nodes; pages: host, html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, 1):
@@ -235,7 +273,12 @@ def removed_nodes(pages: DataFrame, threshold: float, min_pages: int, gamma: flo
     content = F.coalesce(F.col("below"), F.col("text_imp"), F.lit(0.0))
     # No branch goes that holds a text node of importance.
     both = both.withColumn("imp", F.greatest((1 - weight) * F.col("node_imp") + weight * content, F.coalesce("best", F.lit(0.0)), F.coalesce("text_imp", F.lit(0.0))))
-    return both.where((F.col("m") >= min_pages) & (F.col("imp") < threshold)).groupBy("host").agg(F.collect_list("path").alias("removed"))
+    named = used.where("kind = 3").select("host", "path", F.lit(True).alias("named"))
+    both = both.join(named, ["host", "path"], "left").where("m > 1")
+    site = F.when(F.col("imp") < threshold, F.when(F.col("m") >= min_pages, 2.0).otherwise(F.col("m") / min_pages)).otherwise(0.0)
+    name = F.when(F.col("named"), F.least(NAMED / F.greatest("imp", F.lit(1e-9)), F.lit(2.0))).otherwise(NAMED)
+    both = both.select("host", "path", site.alias("site"), name.alias("name")).where((F.col("site") > 0) | (F.col("name") > NAMED * 1.01))
+    return both.groupBy("host").agg(F.collect_list(F.struct("path", "site", "name")).alias("removed"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.05, min_pages: int = 10) -> DataFrame:
@@ -247,14 +290,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     told = rows.join(low, F.col("host") == F.col("of"), "left").select("id", "url", "html", "removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, frozenset] = {}
+        known: dict[tuple, dict] = {}
         for part in pieces(batches, 2):
             texts = []
             for html, removed in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                key = tuple(removed or ())
+                key = tuple((x["path"], x["site"], x["name"]) for x in removed or ())
                 if key not in known:
                     known.clear()
-                    known[key] = frozenset(x & 0xFFFFFFFFFFFFFFFF for x in key)
+                    known[key] = {path & 0xFFFFFFFFFFFFFFFF: (site, name) for path, site, name in key}
                 texts.append(main_text(html or "", known[key]))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 

@@ -205,6 +205,21 @@ def test_site_tree_removes_what_all_pages_have(spark, no_rows):
     assert site_tree.extract(empty).collect() == []
 
 
+def test_names_are_a_prior_only(spark):
+    prose = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    page = lambda k: f'<body><div class="content with-sidebar"><p>{prose(k, 40)}</p><section id="discussion"><p>{prose(-k, 15)}</p></section><div class="related-work"><p>{prose(k + 500, 12)}</p></div><div class="share">Share it</div></div></body>'
+    want = lambda k: "\n\n".join([prose(k, 40), prose(-k, 15), prose(k + 500, 12)])
+    assert site_tree.main_text(page(1)) == want(1)
+    same = " ".join(f"c{i}" for i in range(15))
+    few = lambda k: f'<body><div class="x">Home and news</div><div><p>{prose(k, 50)}</p><div class="notice"><p>{same}</p></div></div></body>'
+    rows = [(k, "http://a.example/", page(k)) for k in range(1, 13)] + [(k, "http://b.example/", few(k)) for k in range(101, 110)] + [(200, "http://c.example/", few(200))]
+    got = {r["page_id"]: r["text"] for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == want(k) for k in range(1, 13))
+    # What nine pages have in common goes, by name or not; of one page it isn't known.
+    assert all(got[k] == prose(k, 50) for k in range(101, 110))
+    assert got[200] == "\n\n".join(["Home and news", prose(200, 50), same])
+
+
 def test_pages_of_the_table(spark, sf_dir):
     import html
     import re
