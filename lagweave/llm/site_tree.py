@@ -13,8 +13,10 @@ prose (text outside of links). Elements whose tag or role says that they are men
 forms and the like, or which are hidden, go. Class and id words of notices,
 adverts, comments and the like are a prior only: a branch with one stays if its
 importance (1 where the host has no other page with it) times its share of the
-page's prose is ``NAMED`` or more. Where a page has an article or main element, its
-text is there.
+page's prose is ``NAMED`` or more. Where article and main elements
+hold half of the prose that is left, the page's text is there; where they hold less,
+as a card or a teaser does, it is all that is left. (Prose of branches with such a word
+counts ``NAMED`` times.)
 
 Statistics cover all pages and are pre-aggregated; what a page needs back is its
 host's list of removed nodes, joined by host, so that one host with a third of all
@@ -211,6 +213,7 @@ def main_text(html: str, host: dict[int, tuple[float, float]] | None = None) ->
     blocks: list[tuple[bool, str]] = []
     parts: list[str] = []
     is_main = False
+    amount = {True: 0, False: 0}
 
     def flush() -> None:
         words = " ".join("".join(parts).split())
@@ -229,9 +232,10 @@ def main_text(html: str, host: dict[int, tuple[float, float]] | None = None) ->
         if block is not owner:
             flush()
             owner, is_main = block, main
+        amount[main] += prose * (NAMED if any(x.named for x in doubtful) else 1)
         parts.append(text)
     flush()
-    only = any(main for main, _ in blocks)
+    only = any(main for main, _ in blocks) and amount[True] >= amount[False]
     return "\n\n".join(words for main, words in blocks if main or not only)
 
 

@@ -220,6 +220,16 @@ def test_names_are_a_prior_only(spark):
     assert got[200] == "\n\n".join(["Home and news", prose(200, 50), same])
 
 
+def test_a_card_is_not_the_page():
+    story = " ".join(f"s{i}" for i in range(60))
+    card = "<article><h2>Another story</h2></article>"
+    assert site_tree.main_text(f"<body><div><p>{story}</p></div>{card}</body>") == f"{story}\n\nAnother story"
+    assert site_tree.main_text(f"<body><div>Short note</div><article><p>{story}</p></article></body>") == story
+    assert site_tree.main_text(f'<body><div class="content with-sidebar"><p>{story}</p></div>{card}</body>') == f"{story}\n\nAnother story"
+    links = '<ul>' + '<li><a href="/x">Some other page of this site</a>' * 40 + '</ul>'
+    assert site_tree.main_text(f"<body>{links}<article><p>{story}</p></article></body>") == story
+
+
 def test_pages_of_the_table(spark, sf_dir):
     import html
     import re
