@@ -98,3 +98,14 @@ def noise_fill(series: DataFrame, scale: Column, noise: Column) -> DataFrame:
     """Uncovered points get noise of the covered points' population deviation times scale; the deviation is one row and is joined to all."""
     sd = series.where("covered").agg(F.sqrt(F.greatest(F.var_pop("x"), F.lit(1e-12))).alias("sd"))
     return series.join(F.broadcast(sd), F.lit(True)).select("t", F.when(F.col("covered"), F.col("x")).otherwise(F.col("sd") * scale * noise).alias("x"), "covered")
+
+
+def after(rows: DataFrame, order: str, kind: str, value: str, span: int = 1 << 16) -> DataFrame:
+    """Rows whose predecessor in the order of an integer column has `value` as its kind; no task sees more than `span` values of that column and one row for each span."""
+    rows = rows.withColumn("__span", F.floor(F.col(order) / span))
+    own = Window.partitionBy("__span").orderBy(order)
+    ends = rows.groupBy("__span").agg(F.max_by(kind, order).alias("__kind"))
+    ends = ends.select("__span", F.lag("__kind").over(Window.orderBy("__span")).alias("__ahead"))
+    near = rows.withColumn("__first", F.row_number().over(own) == 1).withColumn("__before", F.lag(kind).over(own))
+    before = F.when(F.col("__first"), F.col("__ahead")).otherwise(F.col("__before"))
+    return near.join(ends, F.equal_null(near["__span"], ends["__span"])).where(before == value).select(*[c for c in rows.columns if c != "__span"])

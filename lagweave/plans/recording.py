@@ -55,6 +55,12 @@ def annotation_frame(spark: SparkSession, d: str) -> DataFrame:
     return ev.select("event_id", F.col("sec").alias("onset"), (F.col("sec") + F.col("k")).alias("offset_sec"), F.col("event_type").alias("kind"))
 
 
+@query(spread(EV) + "SELECT event_id, sec + 0.0 AS onset, sec + k AS offset_sec, event_type AS kind FROM ev")
+def annotation_frame_all(spark: SparkSession, d: str) -> DataFrame:
+    """annotation_frame of every event; the SQL of that one has a day and no null values."""
+    return D.events(spark, d).select("event_id", F.col("sec").alias("onset"), (F.col("sec") + F.col("k")).alias("offset_sec"), F.col("event_type").alias("kind"))
+
+
 LABEL = "CASE WHEN bool_or(event_type = 'error' AND k > 95) THEN 'question' WHEN bool_or(event_type = 'signup' AND k < 3) THEN 'word_list' WHEN bool_or(event_type = 'click' AND k = 50) THEN 'pseudo_words' WHEN bool_or(event_type = 'view') THEN 'sentence' WHEN count(*) > 0 THEN 'other' ELSE 'unknown' END"
 
 
@@ -81,6 +87,12 @@ def adjacency_shift(spark: SparkSession, d: str) -> DataFrame:
     return D.events(spark, d).where("t < 12").withColumn("before", F.lag("event_type").over(w)).where("before = 'view'").select("event_id", "event_type")
 
 
+@query(spread(EV) + "SELECT event_id, event_type FROM (SELECT event_id, event_type, lag(event_type) OVER (ORDER BY event_id) AS before FROM ev) WHERE before = 'view'")
+def adjacency_shift_all(spark: SparkSession, d: str) -> DataFrame:
+    """adjacency_shift over every event; the SQL of that one has three days."""
+    return T.after(D.events(spark, d).select("event_id", "event_type"), "event_id", "event_type", "view")
+
+
 @query("SELECT DISTINCT user_id FROM events EXCEPT SELECT DISTINCT user_id FROM events WHERE event_type = 'signup'")
 def cohort_difference(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events")
