@@ -220,6 +220,16 @@ def test_passages_of_edited_copies_of_one_text(spark, monkeypatch):
     assert {(r["doc_id"], r["match_id"]) for r in passages(df).collect()} == got
 
 
+def test_passages_repeated_inside_a_text(spark):
+    w = lambda k, n: [f"{k}{i}" for i in range(n)]
+    p = w("p", 70)
+    rows = [(1, " ".join(w("a", 30) + p + w("b", 20) + p[:30] + ["zz"] + p[31:] + w("c", 9))), (2, " ".join(["x", "y"] * 100)), (3, " ".join(w("d", 300)))]
+    got = passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["match_id"]) for r in got} == {(1, 1), (2, 2)}
+    assert [tuple(r)[1:3] + tuple(r)[4:7] for r in got if r["doc_id"] == 1] == [(120, 190, 30, 100, 69)]
+    assert all(r["start_word"] - r["match_start"] >= 50 for r in got)
+
+
 def test_runs_of_places():
     from lagweave.llm.chaining import _crossed, _runs
 
