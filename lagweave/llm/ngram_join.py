@@ -38,13 +38,17 @@ from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .graph import components
-from .shared import PACKED_BYTES, kept, pieces, small_batches
+from .shared import PACKED_BYTES, dropped, kept, pieces, small_batches
 
 MANY = 32
 #: Frequent n-grams that are known by name when columns are ordered: a bound on what is broadcast (8 MB). Any order gives the same links.
 KNOWN = 1_000_000
 #: Rows, and n-grams of all rows, of a block that one task holds.
 BLOCK, TASK_COLUMNS = 2048, 500_000
+#: Bytes of text whose n-grams one owner task has, about.
+TASK_TEXT = 2 << 20
+#: Counters that are made at a time when parities are taken.
+CELLS = 1 << 20
 #: Columns whose hash is in the lowest quarter come first; of these the counts are known.
 LOW = np.uint64(1 << 62)
 _POSTING = np.dtype([("t", "<u8"), ("id", "<i8"), ("n", "<i4")])
@@ -75,6 +79,18 @@ def at_least(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-n * num // den)
 
 
+def odd_bits(at: np.ndarray, row: np.ndarray, n_rows: int, width: int) -> np.ndarray:
+    """Bits (n_rows, width / 8) of the numbers under width that a row has an odd number of times; row ascends. Rows are counted CELLS bits at a time, packed at once."""
+    out = np.empty((n_rows, width // 8), np.uint8)
+    step = max(1, CELLS // width)
+    for lo in range(0, n_rows, step):
+        hi = min(n_rows, lo + step)
+        a, b = np.searchsorted(row, (lo, hi))
+        count = np.bincount((row[a:b] - lo) * width + at[a:b], minlength=(hi - lo) * width)
+        out[lo:hi] = np.packbits((count & 1).astype(np.uint8).reshape(hi - lo, width), axis=1)
+    return out
+
+
 def parity(h: np.ndarray, row: np.ndarray, n: np.ndarray) -> list[bytes]:
     """Of each row, the parities of m classes of its hashes, as bits: m is a power of two, 512 at least and the set's size at least."""
     m = np.maximum(512, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
@@ -85,8 +101,7 @@ def parity(h: np.ndarray, row: np.ndarray, n: np.ndarray) -> list[bytes]:
         place = np.full(len(n), -1)
         place[rows] = np.arange(len(rows))
         own = place[row] >= 0
-        odd = np.bincount(place[row[own]] * width + (at[own] & (width - 1)), minlength=len(rows) * width).reshape(len(rows), width) & 1
-        for r, bits in zip(rows, np.packbits(odd.astype(np.uint8), axis=1), strict=True):
+        for r, bits in zip(rows, odd_bits(at[own] & (width - 1), place[row[own]], len(rows), int(width)), strict=True):
             out[r] = bits.tobytes()
     return out
 
@@ -237,8 +252,7 @@ def multiply(ids: np.ndarray, group: np.ndarray, side: np.ndarray, column: pa.Ar
     h, row, n = sets_of(column, k)
     first = np.cumsum(n) - n
     at = (B.mix(h) >> np.uint64(55)).astype(np.int64)
-    odd = np.packbits((np.bincount(row * 512 + at, minlength=len(n) * 512).reshape(len(n), 512) & 1).astype(np.uint8), axis=1)
-    bits = odd.view(np.uint64).reshape(len(n), 8)
+    bits = odd_bits(at, row, len(n), 512).view(np.uint64).reshape(len(n), 8)
     out_a, out_b = [], []
     order = np.lexsort((ids, n, group))
     cut = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
@@ -276,8 +290,8 @@ def multiply(ids: np.ndarray, group: np.ndarray, side: np.ndarray, column: pa.Ar
     return out_a, out_b
 
 
-def links(docs: DataFrame, tied: DataFrame, cols: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """a, b: a forest of the links among the rows of each block of tied (node, component); cols has the sizes of their sets."""
+def links(docs: DataFrame, tied: DataFrame, cols: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """a, b: a forest of the links among the rows of each block of tied (node, component), and the table it reads; cols has the sizes of their sets."""
     tied = kept(tied.join(cols.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n")), "node"), "ngram-tied")
     sizes = tied.groupBy("component").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("held"))
     total = tied.agg(F.sum("n")).first()[0] or 0
@@ -305,14 +319,15 @@ def links(docs: DataFrame, tied: DataFrame, cols: DataFrame, k: int, num: int, d
         out_a, out_b = multiply(ids, comp, side, column, k, num, den)
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return rows.groupBy("big", "key", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    return rows.groupBy("big", "key", "i", "j").applyInArrow(run, "a bigint, b bigint"), tied
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the smallest id reachable by links of a Jaccard similarity of num / den or more)."""
     spark = docs.sparkSession
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_TEXT + 1)
     scan = kept(signatures(texts, k, ranges), "ngram-signatures")
     rows = scan.where("r is null").select("id", "n", "f1", "f2")
     known = frequent(scan.where("r is not null").select("r", "packed"))
@@ -322,7 +337,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cols = kept(cols.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "ngram-columns")
     near = bounded(candidates(cols, num, den, ranges), cols, num, den)
     tied = components(near, "ngram-blocks")
-    found = components(links(filled, tied, cols, k, num, den), "ngram-links")
+    pairs, tied_sizes = links(filled, tied, cols, k, num, den)
+    found = components(pairs, "ngram-links")
+    for done in (cols, tied, tied_sizes):
+        dropped(done)
     out = rows.join(classes, ["n", "f1", "f2"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
 

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from .shared import pieces, small_batches
 
 SPACE = "▁"
-#: Cuts and pairs that a worker keeps; beyond, it begins anew.
-CACHE = 700_000
+#: Pairs, and bytes of cuts with their ids and surfaces, that a worker keeps; beyond, it begins anew.
+CACHE, CACHE_BYTES = 400_000, 96 << 20
 
 
 class PrefixTable:
@@ -64,6 +64,7 @@ class PrefixTable:
         self.pair: dict[tuple[str, str], bool] = {}
         self.text_ids: dict[str, str] = {}
         self.text_back: dict[str, str] = {}
+        self.text_bytes = 0
 
     def _cut_pattern(self) -> str:
         """Cuts before runs of space marks, and before characters that no piece has after one of another kind (the space mark apart), such as punctuation after a letter."""
@@ -201,12 +202,14 @@ class PrefixTable:
         if not self.cuts:
             got = self.encode(text)
             return ",".join(map(str, got)), self.decode(got)
-        if len(ids) >= CACHE:
+        if self.text_bytes >= CACHE_BYTES:
             ids.clear()
             back.clear()
+            self.text_bytes = 0
         for c in {c for c in cuts if c not in ids}:
             got = self.ids(c)
             ids[c] = ",".join(map(str, got))
+            self.text_bytes += 4 * len(c) + len(ids[c]) + 300  # strings of four bytes a character at most, and what dictionaries need
             back[c] = "".join([self.surface[i] for i in got]) if not self.byte_of.keys() & got else self.decode([self.id_of[SPACE], *got])
         # Each cut begins with a space mark, of which the first in the text is the model's own.
         return ",".join(map(ids.__getitem__, cuts)), "".join(map(back.__getitem__, cuts))[1:]

@@ -15,16 +15,18 @@ from pyspark.sql import functions as F
 PIECE_BYTES = 1 << 19
 #: The same for scans that deal out packed rows by range, which are fewer and larger then.
 PACKED_BYTES = 1 << 20
+#: Rows of a slice, where texts are short.
+PIECE_ROWS = 1 << 13
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or one of our own where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that every executor sees: spark.checkpoint.dir. Where that is unset, a temporary folder of our own on one machine (local master, as in tests), and an error on a cluster."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lagweave.shared.dir", None)
     if not at:
-        at = spark.conf.get("lagweave.shared.dir", None)
-        if not at:
-            at = tempfile.mkdtemp(prefix="lagweave-")
-            spark.conf.set("lagweave.shared.dir", at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="lagweave-")
+        spark.conf.set("lagweave.shared.dir", at)
     return at.rstrip("/")
 
 
@@ -73,7 +75,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: int, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of batches in slices whose column number `text` holds about `limit` bytes; one long text is one slice."""
+    """The rows of batches in slices of PIECE_ROWS rows at most whose column number `text` holds about `limit` bytes; one long text is one slice."""
     for batch in batches:
         n, at = batch.num_rows, 0
         if not n:
@@ -82,6 +84,6 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int, limit: int = PIECE_BYTE
         ends = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
         while at < n:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(ends.searchsorted(base + limit, side="right")))
+            to = min(at + PIECE_ROWS, max(at + 1, int(ends.searchsorted(base + limit, side="right"))))
             yield batch.slice(at, to - at)
             at = to
