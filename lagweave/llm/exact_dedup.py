@@ -1,15 +1,14 @@
 """Exact dedup by an extendible-hash index on shared files; DataFrame operations only.
 
-1. Copies meet: rows are pre-aggregated by (key, text) before and after one
-   shuffle, so that a text with any number of copies is one row per task; the
-   aggregate compares the bytes of texts whose 64-bit keys are equal.
-2. The index: one entry per distinct text. A directory of ``2**depth`` key
-   prefixes is doubled until no bucket holds more than ``capacity`` entries (or
-   the depth is ``max_depth``, where a bucket chains). Buckets that aren't
-   overfull keep the smaller depth they had. Entries are written to the shared
-   folder, a bucket in one file and in order of their key.
-3. Look-up: each row finds its entry by key and digest. Entries that share both
-   and aren't the same text are chained; their rows compare whole texts.
+1. Directory: a bucket of keys splits, and with it the directory doubles, until no
+   bucket holds more than ``capacity`` entries (or the depth is ``MAX_DEPTH``, where
+   a bucket goes on). Buckets that aren't overfull keep the smaller depth they had.
+2. Index: each row goes to the bucket of its key. Its owners see the key's texts
+   whole: copies are one entry, and texts that share a key and differ in a byte
+   are chained. A hot text is one row per task before the shuffle. Entries are
+   written to the shared folder, a bucket in one file and in order of their key.
+3. Look-up: each row finds its entry by bucket and key. Where that is a chain, its
+   rows compare whole texts.
 
 Nulls count as the empty text. Of equal texts, the row with the largest id
 stays; rows that repeat an id and a text count as copies, and each of them is
@@ -19,8 +18,6 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,63 +33,74 @@ def _prefix(key: Column, depth: int | Column) -> Column:
     return F.floor(top / F.pow(F.lit(2.0), F.lit(MAX_DEPTH) - depth)).cast("long")
 
 
-def directory(entries: DataFrame, capacity: int, max_depth: int = MAX_DEPTH) -> DataFrame:
+def directory(keys: DataFrame, capacity: int, max_depth: int = MAX_DEPTH) -> DataFrame:
     """slot, bucket, local_depth of every slot in use: which bucket a key prefix of max_depth bits belongs to.
 
-    A bucket splits, and with it the directory doubles where it must, as long as
-    it holds more than `capacity` entries.
+    Every key is an entry. A bucket splits, and with it the directory doubles where
+    it must, as long as it holds more than `capacity` entries.
     """
-    n = entries.count()
-    depth = min(max_depth, max(0, math.ceil(math.log2(max(n, 1) / capacity)) + 4 if n > capacity else 0))
-    slots = entries.groupBy(_prefix(F.col("key"), F.lit(depth)).alias("slot")).count()
-    level = slots.select("slot", "count", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d"))
-    level = level.withColumn("bucket", F.floor(F.col("slot") / F.pow(F.lit(2.0), F.lit(depth) - F.col("d"))).cast("long"))
+    slots = keys.groupBy(_prefix(F.col("key"), F.lit(max_depth)).alias("slot")).count()
+    level = slots.select("slot", "count", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("d"))
+    level = level.withColumn("bucket", F.floor(F.col("slot") / F.pow(F.lit(2.0), F.lit(max_depth) - F.col("d"))).cast("long"))
     held = level.groupBy("d", "bucket").agg(F.sum("count").alias("held"))
-    fits = level.join(held, ["d", "bucket"]).where((F.col("held") <= capacity) | (F.col("d") == depth))
+    fits = level.join(held, ["d", "bucket"]).where((F.col("held") <= capacity) | (F.col("d") == max_depth))
     best = fits.groupBy("slot").agg(F.min(F.struct("d", "bucket")).alias("b"))
-    return best.select("slot", F.col("b.bucket").alias("bucket"), F.col("b.d").alias("local_depth"), F.lit(depth).alias("depth"))
+    return best.select("slot", F.expr("shiftleft(1L, b.d) + b.bucket").alias("bucket"), F.col("b.d").alias("local_depth"))
+
+
+def located(rows: DataFrame, slots: DataFrame) -> DataFrame:
+    """rows with the bucket of their key; the directory has 2**MAX_DEPTH rows at most."""
+    at = F.broadcast(slots.select("slot", "bucket"))
+    return rows.withColumn("slot", _prefix(F.col("key"), F.lit(MAX_DEPTH))).join(at, "slot").drop("slot")
+
+
+def index_of(rows: DataFrame, slots: DataFrame) -> DataFrame:
+    """bucket, key, chain (distinct texts of the key), sha, keep_id, group_size (of the one text of a chain of one), in files by bucket and in order of their key.
+
+    Rows go to their bucket's owners with their bytes: copies meet before and after
+    that shuffle, and texts of one key that differ in a byte are links of its chain.
+    """
+    texts = rows.groupBy("bucket", "key", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    links = texts.select("bucket", "key", F.sha2("text", 256).alias("sha"), "keep_id", "n")
+    one = links.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("chain"), F.max("sha").alias("sha"), F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    return kept(one.repartition("bucket").sortWithinPartitions("bucket", "key"), "exact-index")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1_000_000, key_bits: int = 64, digest_bits: int = 256) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 10_000, key_bits: int = 64) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
 
-    capacity: entries of a bucket. key_bits, digest_bits: as many bits of the key
-    and the digest are compared before the texts are; fewer serve to test chains.
+    capacity: entries of a bucket. key_bits: as many bits of the key are compared
+    before the texts are; fewer serve to test chains.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sha = F.sha2(text, 256)
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 64 - key_bits), 64 - key_bits).alias("key"),
-        F.substring(sha, 1, digest_bits // 4).alias("digest"),
-        sha.alias("sha"),
-        text.alias("text"),
-    )
-    raw = kept(
-        rows.groupBy("key", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).select("key", F.substring(F.sha2("text", 256), 1, digest_bits // 4).alias("digest"), F.sha2("text", 256).alias("sha"), "keep_id", "n"),
-        "exact-entries",
-    )
-    slots = directory(raw.select("key"), capacity)
-    depth = slots.select("depth").first()
-    of_bucket = raw.withColumn("slot", _prefix(F.col("key"), F.lit(depth[0] if depth else 0))).join(F.broadcast(slots.drop("depth")), "slot")
-    index = kept(of_bucket.repartition("bucket").sortWithinPartitions("bucket", "key", "digest").drop("slot"), "exact-index")
+    key = F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 64 - key_bits), 64 - key_bits)
+    rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), text.alias("text"))
+    slots = kept(directory(rows.select("key").distinct(), capacity), "exact-directory")
+    placed = located(rows, slots)
+    index = index_of(placed, slots)
     out = ["id", "keep_id", "group_size", "sha"]
-    clash = index.groupBy("key", "digest").count().where("count > 1").select("key", "digest")
+    chains = index.where("chain > 1").select("bucket", "key")
     # Both sides come straight from their tables, so that a hot key's rows can be split among tasks.
-    found = rows.drop("text").join(index.select("key", "digest", "keep_id", F.col("n").alias("group_size")), ["key", "digest"])
-    if clash.isEmpty():
-        found = found.select(out)
-    else:
-        clash = kept(clash, "exact-chains")
-        chained = rows.join(clash, ["key", "digest"], "left_semi")
-        groups = chained.groupBy("key", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        found = found.join(clash, ["key", "digest"], "left_anti").select(out).unionByName(chained.join(groups, ["key", "text"]).select(out))
+    found = placed.drop("text").join(index.where("chain = 1").drop("chain"), ["bucket", "key"]).select(out)
+    if not chains.isEmpty():
+        # Along a chain, bytes are compared.
+        chained = placed.join(kept(chains, "exact-chains"), ["bucket", "key"], "left_semi")
+        link = chained.groupBy("bucket", "key", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        found = found.unionByName(chained.join(link, ["bucket", "key", "text"]).withColumn("sha", F.sha2("text", 256)).select(out))
     # Rows with the largest id stay; if that id is there twice with this text, each of its rows is marked.
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    drop = exact_dedup(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col(id_col).alias("__lw_id"), F.col("text_sha256").alias("__lw_sha")).distinct()
+    """One row of docs for each text, the one with the largest id, with all its columns. Of rows that repeat this id and text, the one whose columns have the smallest hash stays."""
+    told = exact_dedup(docs, id_col, text_col, **options).select(F.col(id_col).alias("__lw_id"), F.col("text_sha256").alias("__lw_sha"), F.col("kept").alias("__lw_kept"))
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    return docs.join(drop, F.col(id_col).eqNullSafe(F.col("__lw_id")) & (sha == F.col("__lw_sha")), "left_anti")
+    on = F.col(id_col).eqNullSafe(F.col("__lw_id")) & (sha == F.col("__lw_sha"))
+    marked = kept(told.groupBy("__lw_id", "__lw_sha", "__lw_kept").count(), "exact-decisions")
+    alone = docs.join(marked.where("not __lw_kept or count > 1"), on, "left_anti")
+    again = marked.where("__lw_kept and count > 1")
+    if again.isEmpty():
+        return alone
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = docs.join(again, on).groupBy("__lw_id", "__lw_sha").agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])).alias("__lw_row"))
+    return alone.unionByName(one.select("__lw_row.*"))

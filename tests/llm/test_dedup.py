@@ -26,7 +26,7 @@ def exact(rows):
     return {(i, max(g), len(g), i == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
 
 
-@pytest.mark.parametrize("options", [{}, {"capacity": 4}, {"key_bits": 3, "digest_bits": 4, "capacity": 5}])
+@pytest.mark.parametrize("options", [{}, {"capacity": 4}, {"key_bits": 3, "capacity": 5}])
 def test_exact_dedup(awkward, awkward_rows, options):
     got = {tuple(r) for r in exact_dedup(awkward, **options).collect()}
     assert got == exact(awkward_rows)
@@ -45,10 +45,34 @@ def test_exact_dedup_repeated_and_null_ids(spark):
     assert got == [("1", "1", 3, True), ("1", "1", 3, True), ("None", "1", 3, False), ("None", "None", 1, True)]
 
 
+def test_exact_dedup_stage_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "a", "x"), (1, "a", "y"), (1, "a", "x"), (1, "a", "x"), (None, "b", "z"), (None, "b", "z")], "doc_id long, text string, id string")
+    got = without_copies(df).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == [("1", "a"), ("None", "b")]
+    assert [tuple(r) for r in got] == [tuple(r) for r in without_copies(df.repartition(5)).collect()] or sorted(map(str, got)) == sorted(map(str, without_copies(df.repartition(5)).collect()))
+
+
 def test_directory_splits_overfull_buckets(spark):
-    keys = spark.range(4000).select(F.when(F.col("id") < 1000, F.lit(5).cast("long")).otherwise(F.xxhash64("id")).alias("key"))
+    keys = spark.range(4000).select(F.when(F.col("id") < 1000, F.col("id")).otherwise(F.xxhash64("id")).alias("key"))
     slots = directory(keys, 300).collect()
-    assert len({r["local_depth"] for r in slots}) > 1  # the chained key goes down to the bottom, others don't
+    assert len({r["local_depth"] for r in slots}) > 1  # the crowded prefix goes down to the bottom, others don't
+    held = Counter()
+    of = {r["slot"]: (r["bucket"], r["local_depth"]) for r in slots}
+    for r in keys.collect():
+        held[of[(r["key"] & (2**64 - 1)) >> 48]] += 1
+    assert all(n <= 300 or depth == 16 for (_, depth), n in held.items())
+
+
+def test_exact_dedup_goes_by_the_buckets(spark, monkeypatch):
+    """A directory that names other buckets to the index than to the look-up loses the rows: they are found through it."""
+    from lagweave.llm import exact_dedup as module
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    n = docs.count()
+    assert exact_dedup(docs).count() == n
+    build = module.index_of
+    monkeypatch.setattr(module, "index_of", lambda rows, slots: build(rows.withColumn("bucket", F.col("bucket") * 2 + 1), slots))
+    assert exact_dedup(docs).count() < n
 
 
 def ngram_brute(rows, k, num, den):
