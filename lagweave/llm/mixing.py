@@ -5,16 +5,21 @@ share all words by weight, no source gets more than ``max_copies`` times its
 words, and the excess is shared anew by weight (closed form: one level that
 fills up, sources taken in order of their cap per weight).
 
-Copies: a document's expected copies are target / source size. The whole part is
-certain. Of the rest, with inclusion probability p, documents are taken in order
-of ``u/(1-u) * (1-p)/p``, their random odds divided by their inclusion odds,
-until the words that the source still lacks are reached; the last one is taken
-if that comes nearer. u is made of the id, so reruns agree.
-
-The cut in that order is found by sums over bins of the ranking variable, refined
-twice, never by sorting a source: each pass pre-aggregates before its shuffle,
-and only the rows of one bin in 2**28 are ordered together. A source that holds
-any part of all rows is no special case.
+Copies: a source takes target / source size copies of all its documents, of which
+the whole part is certain. The words that it then lacks are drawn with inclusion
+probabilities in proportion to a document's own words, min(1, c * words): documents
+that reach 1 are certain once more, and c makes the expected words those that are
+lacking. The others are taken in order of ``u/(1-u) * (1-p)/p``, their random odds
+divided by their inclusion odds, as long as their words fit: a sample of fixed
+size, in words. u is made of the id, so reruns agree. Last, of the documents not
+taken, the one whose words come nearest to what is still lacking is taken, if that
+is nearer than none.
+
+c comes from sums over the sizes that occur in a source. The cut in the order is
+found by sums over bins of the ranking variable, refined twice, never by sorting
+a source: each pass pre-aggregates before its shuffle, and only the rows of one
+bin in 2**28 are ordered together. A source that holds any part of all rows is no
+special case.
 
 Nulls: a null text has no words and takes part with 0; a null source is a source
 of its own. Rows that repeat an id rank alike and are taken together. An empty
@@ -65,47 +70,77 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 
 def _ranked(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """rows (id, source, ...) with their source's plan, the ranking variable q (null: not sampled) and its bins."""
+    """rows (id, source, size, ...) with their source's plan, the ranking variable q (null: not sampled) and its bins."""
     u = uniform(F.col("id"), seed)
-    rows = rows.join(plan, _same(rows, plan)).drop("of")
+    rows = rows.join(plan, _same(rows, plan)).drop("of").withColumn("p", F.least(F.lit(1.0), F.col("c") * F.col("size")))
     rank = F.when(F.col("p") > 0, F.when(F.col("p") < 1, u / (1 - u) * ((1 - F.col("p")) / F.col("p"))).otherwise(0.0))
     share = F.col("q") / (1 + F.col("q"))
-    return rows.withColumn("q", rank).withColumn("b1", F.floor(share * (1 << BITS)).cast("int")).withColumn("b2", (F.floor(share * (1 << 2 * BITS)) % (1 << BITS)).cast("int"))
+    return rows.withColumn("q", rank).withColumn("b1", F.floor(share * (1 << BITS)).cast("int")).withColumn("b2", (F.floor(share * (1 << 2 * BITS)) % (1 << BITS)).cast("int")).drop("c", "p")
+
+
+def inclusion(skinny: DataFrame, plan: DataFrame) -> DataFrame:
+    """plan with c: the sum of min(1, c * size) * size over a source's documents is what it lacks; 0 where it lacks nothing.
+
+    Sizes in descending order; those from some size on are certain, and c is what
+    the others' squares need. The window has a row for each size that occurs.
+    """
+    tally = skinny.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    down = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    up = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    words, square = F.col("size") * F.col("n"), (F.col("size").cast("double") * F.col("size")) * F.col("n")
+    tally = tally.withColumn("certain", F.coalesce(F.sum(words).over(down), F.lit(0))).withColumn("squares", F.sum(square).over(up))
+    tally = tally.join(plan.select("of", "lack"), tally["source"].eqNullSafe(F.col("of")))
+    tally = tally.withColumn("c", (F.col("lack") - F.col("certain")) / F.col("squares"))
+    best = tally.where((F.col("lack") > 0) & (F.col("c") * F.col("size") <= 1)).groupBy(F.col("of").alias("of2")).agg(F.max_by("c", "size").alias("c"))
+    return plan.join(best, F.col("of").eqNullSafe(F.col("of2")), "left").drop("of2").withColumn("c", F.when(F.col("lack") > 0, F.coalesce("c", F.lit(1.0))).otherwise(0.0))
 
 
 def plan_mix(skinny: DataFrame, weights: tuple[float, ...], max_copies: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Of rows (id, source, size): each source's target with its certain copies and inclusion probability, and where its sample ends."""
+    """Of rows (id, source, size): each source's target with its certain copies and c, and where its sample ends."""
     sizes = skinny.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, max_copies)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = plan.withColumn("whole", F.least(F.floor(ratio), F.lit(max_copies)).cast("long")).withColumn("lack", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = plan.withColumn("p", F.when(F.col("source_size") > 0, F.col("lack") / F.col("source_size")).otherwise(0.0))
-    plan = kept(plan.withColumnRenamed("source", "of"), "mix-plan")
-    open_rows, cut = _ranked(skinny, plan, seed).where(F.col("q").isNotNull() & (F.col("size") > 0)), plan.select("of", "lack")
+    plan = plan.withColumn("lack", F.when(F.col("whole") < max_copies, F.greatest("lack", F.lit(0.0))).otherwise(0.0))
+    plan = kept(inclusion(skinny, kept(plan.withColumnRenamed("source", "of"), "mix-targets")), "mix-plan")
+    ranked = _ranked(skinny, plan, seed).where(F.col("q").isNotNull() & (F.col("size") > 0))
+    open_rows, cut = ranked, plan.select("of", "lack")
     for k, b in enumerate(("b1", "b2"), 1):
         held = open_rows.groupBy("source", b).agg(F.sum("size").alias("held"))
         so_far = Window.partitionBy("source").orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
         held = held.withColumn("before", F.coalesce(F.sum("held").over(so_far), F.lit(0)))
-        at = held.join(cut, _same(held, cut)).where((F.col("before") < F.col("lack")) & (F.col("lack") <= F.col("before") + F.col("held")))
-        # Sums of doubles may leave a source with a hair more to take than it has: it has no cut then, and all of it is taken.
+        at = held.join(cut, _same(held, cut)).where((F.col("before") <= F.col("lack")) & (F.col("lack") < F.col("before") + F.col("held")))
+        # A source without a cut lacks all that it has (sums of doubles may leave a hair): all of it is taken.
         cut = kept(at.select("of", (F.col("lack") - F.col("before")).alias("lack"), F.col(b).alias(f"c{k}"), *[f"c{j}" for j in range(1, k)]), f"mix-cut{k}")
         own = cut.select("of", f"c{k}")
         open_rows = open_rows.join(own, _same(open_rows, own) & (open_rows[b] == own[f"c{k}"])).drop("of", f"c{k}")
     last = open_rows.groupBy("source", "q", "id").agg(F.sum("size").alias("held"))
-    so_far = Window.partitionBy("source").orderBy("q", "id").rowsBetween(Window.unboundedPreceding, -1)
-    last = last.withColumn("before", F.coalesce(F.sum("held").over(so_far), F.lit(0)))
-    last = last.join(cut.select("of", "lack").withColumnRenamed("lack", "left"), last["source"].eqNullSafe(F.col("of"))).where(F.col("before") + F.col("held") / 2 <= F.col("left"))
-    edge = last.groupBy("of").agg(F.max(F.struct("q", "id")).alias("edge")).withColumnRenamed("of", "of2")
-    return plan, kept(cut.drop("lack").join(edge, F.col("of").eqNullSafe(F.col("of2")), "left").drop("of2"), "mix-edge")
+    so_far = Window.partitionBy("source").orderBy("q", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = last.withColumn("upto", F.sum("held").over(so_far))
+    last = last.join(cut.select("of", F.col("lack").alias("left")), last["source"].eqNullSafe(F.col("of"))).where(F.col("upto") <= F.col("left"))
+    edge = last.groupBy(F.col("of").alias("of2")).agg(F.max(F.struct("q", "id")).alias("edge"), F.max("upto").alias("upto"))
+    cut = cut.join(edge, F.col("of").eqNullSafe(F.col("of2")), "left").drop("of2")
+    cut = kept(cut.withColumn("lack", F.col("lack") - F.coalesce("upto", F.lit(0))).drop("upto"), "mix-edge")
+    # What is still lacking: the one document that comes nearest.
+    rest = ranked.drop("lack").join(cut, _same(ranked, cut)).where(~_inside()).groupBy("of", "lack", "q", "id").agg(F.sum("size").alias("held"))
+    rest = rest.withColumn("off", F.abs(F.col("held") - F.col("lack"))).where(F.col("off") < F.col("lack"))
+    fill = rest.groupBy(F.col("of").alias("of2")).agg(F.min(F.struct("off", "q", "id"))["id"].alias("id"))
+    fill = fill.select("of2", F.struct("id").alias("fill"))
+    return plan, kept(cut.drop("lack").join(fill, F.col("of").eqNullSafe(F.col("of2")), "left").drop("of2"), "mix-fill")
+
+
+def _inside() -> Column:
+    """Whether a ranked row with its source's cut comes before it, or is the cut's last one."""
+    there = (F.col("b2") < F.col("c2")) | ((F.col("b2") == F.col("c2")) & F.coalesce(F.struct("q", "id") <= F.col("edge"), F.lit(False)))
+    return F.col("c1").isNull() | (F.col("b1") < F.col("c1")) | ((F.col("b1") == F.col("c1")) & there)
 
 
 def _copies(rows: DataFrame, plan: DataFrame, cut: DataFrame, seed: int) -> DataFrame:
-    """rows (id, source, ...) with their source's plan and the number of copies that the mix takes. Both tables have a row for each source, whose rows they meet in a map or a join that may be split."""
+    """rows (id, source, size, ...) with their source's plan and the number of copies that the mix takes. Both tables have a row for each source, whose rows they meet in a map or a join that may be split."""
     rows = _ranked(rows, plan, seed)
     rows = rows.join(cut, _same(rows, cut), "left").drop("of")
-    inside = (F.col("b2") < F.col("c2")) | ((F.col("b2") == F.col("c2")) & F.coalesce(F.struct("q", "id") <= F.col("edge"), F.lit(False)))
-    lower = F.col("c1").isNull() | (F.col("b1") < F.col("c1")) | ((F.col("b1") == F.col("c1")) & inside)
-    return rows.withColumn("copies", F.col("whole") + F.when(F.col("q").isNotNull() & lower, 1).otherwise(0)).drop("whole", "lack", "p", "q", "b1", "b2", "c1", "c2", "edge")
+    taken = _inside() | F.coalesce(F.col("fill").isNotNull() & F.col("fill.id").eqNullSafe(F.col("id")), F.lit(False))
+    return rows.withColumn("copies", F.col("whole") + F.when(F.col("q").isNotNull() & taken, 1).otherwise(0)).drop("whole", "lack", "q", "b1", "b2", "c1", "c2", "edge", "fill")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), max_copies: int = 3, seed: int = 7) -> DataFrame:
@@ -119,5 +154,5 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The rows of the mix, with all columns of docs; a row is there as often as it is taken. Texts aren't shuffled."""
     skinny = kept(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
     plan, cut = plan_mix(skinny, weights, max_copies, seed)
-    rows = _copies(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), plan, cut, seed)
+    rows = _copies(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), plan, cut, seed)
     return rows.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")

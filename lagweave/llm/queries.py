@@ -110,11 +110,20 @@ flood AS (SELECT arg_min(level, place) AS flood FROM s3 WHERE cap > level * w),
 s4 AS (SELECT source, source_size, coalesce(least(cap, flood * w), cap) AS target FROM s3 CROSS JOIN flood),
 s5 AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS whole FROM s4),
 s6 AS (SELECT *, target - whole * source_size AS lack FROM s5),
-s7 AS (SELECT *, CASE WHEN source_size > 0 THEN lack / source_size ELSE 0 END AS p FROM s6),
-r0 AS (SELECT d.doc_id, d.size, s7.*, (CAST('0x' || substr(md5('7|' || CAST(d.doc_id AS VARCHAR)), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
-       FROM d JOIN s7 ON d.source IS NOT DISTINCT FROM s7.source),
-r1 AS (SELECT *, u / (1 - u) * ((1 - p) / p) AS q FROM r0),
-r2 AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r1)
-SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN p > 0 AND before + size / 2 <= lack THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r2
+s7 AS (SELECT * REPLACE (CASE WHEN whole < 3 THEN greatest(lack, 0) ELSE 0 END AS lack) FROM s6),
+t0 AS (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY 1, 2),
+t1 AS (SELECT *, coalesce(sum(size * n) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS certain,
+              sum(size::DOUBLE * size * n) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS squares FROM t0),
+t2 AS (SELECT t1.*, s7.lack, (s7.lack - certain) / squares AS c FROM t1 JOIN s7 ON t1.source IS NOT DISTINCT FROM s7.source),
+t3 AS (SELECT source, arg_max(c, size) AS c FROM t2 WHERE lack > 0 AND c * size <= 1 GROUP BY 1),
+s8 AS (SELECT s7.*, CASE WHEN lack > 0 THEN coalesce(t3.c, 1) ELSE 0 END AS c FROM s7 LEFT JOIN t3 ON s7.source IS NOT DISTINCT FROM t3.source),
+r0 AS (SELECT d.doc_id, d.size, s8.*, least(1, s8.c * d.size) AS p, (CAST('0x' || substr(md5('7|' || CAST(d.doc_id AS VARCHAR)), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+       FROM d JOIN s8 ON d.source IS NOT DISTINCT FROM s8.source),
+r1 AS (SELECT *, CASE WHEN p > 0 AND p < 1 THEN u / (1 - u) * ((1 - p) / p) WHEN p > 0 THEN 0 END AS q FROM r0),
+r2 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM r1 WHERE q IS NOT NULL),
+r3 AS (SELECT *, upto <= lack AS inside, lack - coalesce(max(upto) FILTER (WHERE upto <= lack) OVER (PARTITION BY source), 0) AS gap FROM r2),
+r4 AS (SELECT source, arg_min(doc_id, row(abs(size - gap), q, doc_id)) AS fill FROM r3 WHERE NOT inside AND abs(size - gap) < gap GROUP BY 1),
+r5 AS (SELECT r3.doc_id, inside OR coalesce(r3.doc_id = fill, false) AS again FROM r3 LEFT JOIN r4 ON r3.source IS NOT DISTINCT FROM r4.source)
+SELECT r1.doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN again THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r1 LEFT JOIN r5 USING (doc_id)
 """,
 }
