@@ -5,9 +5,12 @@ three, four and five bytes of longer words it has. The features that tell the la
 apart best on the sample (largest z of the two rates; a documented number of
 them) are weighed by logistic regression.
 
-Counterfactuals: each identity term in a sample text is swapped for other terms,
-and for a neutral word, and the squared change of the text's logit is part of the
-loss. Naming a group moves a score little therefore, whatever the labels say.
+Counterfactuals: each identity term in a sample text is swapped for other terms of
+its language, and for a neutral word, and the squared change of the text's logit
+is part of the loss. A sample text that names no group is made to name one, each
+term in turn, and its twin has the neutral word there. Naming a group moves a
+score little therefore, whatever the labels say, and although its name may begin
+like a word that they mark.
 
 Bounds, the same at every size: ``sample_rows`` labelled rows (those with the
 smallest hash of their id), ``n_features`` features, ``swaps`` per text. Scoring
@@ -22,7 +25,7 @@ if there is none), kept under 0.5 unless every label is 1.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,16 +36,37 @@ from pyspark.sql import functions as F
 from . import bytescan as B
 from .shared import bounded_sample, kept, pieces, small_batches
 
-#: Terms that name groups of people, and the word that stands for none.
-IDENTITY_TERMS = (
-    "african", "american", "arab", "asian", "atheist", "black", "blind", "buddhist", "catholic", "chinese",
-    "christian", "deaf", "disabled", "elderly", "european", "female", "gay", "hindu", "hispanic", "homosexual",
-    "immigrant", "immigrants", "indian", "japanese", "jew", "jewish", "jews", "latino", "lesbian", "male",
-    "men", "mexican", "muslim", "muslims", "old", "protestant", "queer", "refugees", "straight", "trans",
-    "transgender", "white", "women", "young",
-)
-NEUTRAL = "person"
-_TERM = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(IDENTITY_TERMS, key=len, reverse=True)) + r")(?![^\W_])", re.I)
+#: Terms that name groups of people in English, German, French and Spanish, and the words that stand for none.
+IDENTITY_TERMS = {
+    "en": (
+        "african", "american", "arab", "asian", "atheist", "black", "blind", "buddhist", "catholic", "chinese",
+        "christian", "deaf", "disabled", "elderly", "european", "female", "gay", "hindu", "hispanic", "homosexual",
+        "immigrant", "immigrants", "indian", "japanese", "jew", "jewish", "jews", "latino", "lesbian", "male",
+        "men", "mexican", "mormon", "muslim", "muslims", "old", "protestant", "queer", "refugees", "straight",
+        "trans", "transgender", "white", "women", "young", "black people", "deaf people", "old people",
+    ),
+    "de": (
+        "afrikaner", "alte menschen", "araber", "asiate", "atheist", "ausländer", "behinderte", "blinde", "buddhist", "chinese",
+        "christ", "einwanderer", "flüchtlinge", "frauen", "gehörlose", "hindu", "inder", "japaner", "jude", "juden",
+        "jüdisch", "katholik", "lesbe", "mexikaner", "mormone", "muslim", "muslime", "männer", "protestant", "schwarze",
+        "schwul", "transsexuell", "weiße", "ältere",
+    ),
+    "fr": (
+        "africain", "arabe", "asiatique", "athée", "aveugle", "bouddhiste", "catholique", "chinois", "chrétien", "femmes",
+        "handicapé", "hindou", "hommes", "immigré", "indien", "japonais", "juif", "juive", "lesbienne", "mexicain",
+        "mormon", "musulman", "musulmane", "noir", "personnes âgées", "protestant", "réfugiés", "sourd", "transgenre", "vieux",
+    ),
+    "es": (
+        "africano", "anciano", "asiático", "ateo", "budista", "católico", "chino", "ciego", "cristiano", "discapacitado",
+        "gitano", "hindú", "hombres", "indio", "inmigrante", "japonés", "judía", "judío", "lesbiana", "mexicano",
+        "mormón", "mujeres", "musulmana", "musulmán", "negro", "personas mayores", "protestante", "refugiados", "sordo", "transgénero",
+    ),
+}
+NEUTRAL = {"en": "person", "de": "mensch", "fr": "personne", "es": "persona"}
+#: Each term with the languages that have it; a text's terms are swapped for those of the first.
+_LANGUAGE = {t: lang for lang in reversed(IDENTITY_TERMS) for t in IDENTITY_TERMS[lang]}
+ALL_TERMS = tuple(dict.fromkeys(t for terms in IDENTITY_TERMS.values() for t in terms))
+_TERM = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(ALL_TERMS, key=len, reverse=True)) + r")(?![^\W_])", re.I)
 _KIND = [np.uint64(0), np.uint64(0x1234567890ABCDEF), np.uint64(0xFEDCBA0987654321), np.uint64(0x0F1E2D3C4B5A6978)]
 
 
@@ -82,13 +106,29 @@ def hits(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> tuple[np.n
     return pair // len(known), pair % len(known)
 
 
+def _way(k: int | None) -> Callable[[re.Match], str]:
+    """The swap of a term for another one of its language, or for the neutral word (None)."""
+
+    def swap(m: re.Match) -> str:
+        lang = _LANGUAGE[m[0].lower()]
+        terms = IDENTITY_TERMS[lang]
+        return NEUTRAL[lang] if k is None else terms[(terms.index(m[0].lower()) + 1 + k * 7) % len(terms)]
+
+    return swap
+
+
 def swapped(text: str, swaps: int) -> list[str]:
     """The text with its identity terms swapped, in `swaps` fixed ways, and for the neutral word; none if it has no term."""
-    if not _TERM.search(text):
-        return []
-    n = len(IDENTITY_TERMS)
-    ways = [lambda m, k=k: IDENTITY_TERMS[(IDENTITY_TERMS.index(m[0].lower()) + 1 + k * 7) % n] for k in range(swaps)]
-    return [_TERM.sub(way, text) for way in [*ways, lambda m: NEUTRAL]]
+    return [_TERM.sub(_way(k), text) for k in [*range(swaps), None]] if _TERM.search(text) else []
+
+
+def named(known: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each identity term, the places in `known` of its features and of its neutral word's."""
+    def own(text: str) -> np.ndarray:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return hits(raw, np.array([0, len(raw)]), known)[1]
+
+    return [(own(t), own(NEUTRAL[_LANGUAGE[t]])) for t in ALL_TERMS]
 
 
 def logistic(rows: list[np.ndarray], y: np.ndarray, twins: list[tuple[np.ndarray, np.ndarray]], n: int, l2: float = 3e-5, fair: float = 1.0, toxic_weight: float = 2.0, steps: int = 500) -> tuple[np.ndarray, float]:
@@ -114,7 +154,7 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, twins: list[tuple[np.ndarray
     return w[:n], float(w[n])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = 20_000, n_features: int = 2_000, swaps: int = 3, seed: int = 17) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = 20_000, n_features: int = 2_000, swaps: int = 3, seed: int = 17, fair: float = 1.0) -> Model:
     """docs: texts; labels: the labels to learn from, by id. The sample is taken of the labels, so that it alone is broadcast and no text is shuffled."""
     chosen = bounded_sample(labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y")), "id", sample_rows, seed)
     sample = kept(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(kept(chosen, "toxicity-labels")), "id"), "toxicity-sample")
@@ -135,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     both = (F.col("p") + F.col("n")) / float(pos + neg)
     z = F.abs(F.col("p") / float(pos) - F.col("n") / float(neg)) / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)) * (1 / pos + 1 / neg))
     best = [r["f"] for r in rates.withColumn("z", z).where("z >= 4").orderBy(F.desc("z"), "f").limit(n_features).collect()]
-    terms = "\n".join((*IDENTITY_TERMS, NEUTRAL)).encode()
+    terms = "\n".join((*ALL_TERMS, *NEUTRAL.values())).encode()
     own, _ = features(np.frombuffer(terms, np.uint8), np.array([0, len(terms)]))
     known = np.unique(np.concatenate([np.array(best, np.int64).view(np.uint64), own]))
     shared = sample.sparkSession.sparkContext.broadcast(known)  # n_features and the terms' own at most
@@ -154,7 +194,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     got.sort(key=lambda r: (r["id"] is None, str(r["id"]), r["y"], r["x"]))  # sums in one order: reruns agree
     x = [np.array(r["x"][0], np.int64) for r in got]
     twins = [(x[i], np.array(v, np.int64)) for i, r in enumerate(got) for v in r["x"][1:]]
-    w, bias = logistic(x, np.array([r["y"] for r in got], float), twins, len(known))
+    terms = named(known)
+    plain = [i for i, r in enumerate(got) if len(r["x"]) == 1]
+    for k, i in enumerate(plain):
+        a, b = terms[k % len(terms)]
+        has = set(x[i].tolist())  # only what one twin has and the other hasn't counts
+        twins.append(tuple(np.array([f for f in u.tolist() if f not in has and f not in v], np.int64) for u, v in ((a, set(b.tolist())), (b, set(a.tolist())))))
+    w, bias = logistic(x, np.array([r["y"] for r in got], float), twins if fair else [], len(known), fair=fair)
     return Model(known, w, bias)
 
 

@@ -84,6 +84,9 @@ def test_languages_of_awkward_rows(awkward, awkward_rows, no_rows):
     assert {r["lang_pred"] for r in language_cnn.identify(awkward, None).collect()} == {"und"}
 
 
+LARGER = "/root/testdata/sf0.01"
+
+
 def test_toxicity_held_out(spark, sf_dir):
     labels = queries.table(spark, sf_dir, "labels").select("doc_id", "toxic")
     rows = queries.op7_toxicity(spark, sf_dir).collect()
@@ -93,6 +96,30 @@ def test_toxicity_held_out(spark, sf_dir):
     assert np.mean(clean) < 0.1
 
 
+def test_toxicity_held_out_rates(spark):
+    """On the tables with 64 clean and 6 toxic rows that are held out: toxic rows are found, clean ones left alone."""
+    rows = queries.op7_toxicity(spark, LARGER).join(queries.table(spark, LARGER, "labels").where("toxic is not null").select("doc_id", "toxic"), "doc_id").collect()
+    rate = {(y, h): np.mean([r["predicted"] for r in rows if r["toxic"] == y and r["held_out"] == h]) for y in (0, 1) for h in (False, True)}
+    assert rate[1, False] >= 0.8 and rate[1, True] >= 0.5 and rate[0, False] <= 0.01 and rate[0, True] <= 0.05
+
+
+def test_counterfactuals_lower_what_naming_a_group_does(spark):
+    """On the query's own tables: without them, a name that begins like a word of toxic texts raises scores."""
+    docs, labels = queries.table(spark, LARGER, "documents"), queries.table(spark, LARGER, "labels").where(~queries.held_out())
+    moved = {}
+    for fair in (0.0, 1.0):
+        m = toxicity.train(docs, labels, "doc_id", "text", "toxic", fair=fair)
+        moved[fair] = [abs(m.weights[a].sum() - m.weights[b].sum()) for a, b in toxicity.named(m.features)]
+    assert max(moved[0.0]) > 0.1 and max(moved[1.0]) < 0.5 * max(moved[0.0]) and np.mean(moved[1.0]) < np.mean(moved[0.0])
+
+
+def test_terms_of_four_languages_are_swapped_in_their_own():
+    for text in ("the black people here", "die Juden dort", "les musulmanes ici", "un gitano aquí"):
+        ways = toxicity.swapped(text, 3)
+        assert len(ways) == 4 and len(set(ways)) == 4 and text not in ways
+    assert toxicity.swapped("die Juden dort", 3)[-1] == "die mensch dort" and toxicity.swapped("blackbird", 3) == []
+
+
 def test_identity_terms_do_not_move_scores(spark):
     rng = random.Random(3)
     rows, labels = [], []
