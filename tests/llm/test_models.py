@@ -114,7 +114,7 @@ def test_counterfactuals_lower_what_naming_a_group_does(spark):
 
 
 def test_terms_of_four_languages_are_swapped_in_their_own():
-    for text in ("the black people here", "die Juden dort", "les musulmanes ici", "un gitano aquí"):
+    for text in ("the black people here", "die Juden dort", "les femmes ici", "un gitano aquí"):
         ways = toxicity.swapped(text, 3)
         assert len(ways) == 4 and len(set(ways)) == 4 and text not in ways
     assert toxicity.swapped("die Juden dort", 3)[-1] == "die mensch dort" and toxicity.swapped("blackbird", 3) == []
