@@ -75,7 +75,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 64 - key_bits), 64 - key_bits)
     rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), text.alias("text"))
-    slots = kept(directory(rows.select("key").distinct(), capacity), "exact-directory")
+    slots = kept(directory(rows.select("key").distinct(), capacity), "exact-directory", one_file=True)
     placed = located(rows, slots)
     index = index_of(placed, slots)
     out = ["id", "keep_id", "group_size", "sha"]

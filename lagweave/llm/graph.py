@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .shared import dropped, kept
 
+#: Edges that a task writes in a round, about.
+TASK_EDGES = 100_000
+
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, component (its smallest node) of every node of edges (a, b); nodes of no edge aren't in it.
@@ -27,13 +30,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     now = kept(ordered(edges), name)
     seen = check(now)
+    tasks = int(seen[0] // TASK_EDGES) + 1  # rounds add no edges
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = ordered(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        after = kept(ordered(small), name)
+        after = kept(ordered(small).coalesce(tasks), name)
         then = check(after)
         dropped(now)
         now = after

@@ -102,7 +102,7 @@ def plan_mix(skinny: DataFrame, weights: tuple[float, ...], max_copies: int, see
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = plan.withColumn("whole", F.least(F.floor(ratio), F.lit(max_copies)).cast("long")).withColumn("lack", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = plan.withColumn("lack", F.when(F.col("whole") < max_copies, F.greatest("lack", F.lit(0.0))).otherwise(0.0))
-    plan = kept(inclusion(skinny, kept(plan.withColumnRenamed("source", "of"), "mix-targets")), "mix-plan")
+    plan = kept(inclusion(skinny, kept(plan.withColumnRenamed("source", "of"), "mix-targets", one_file=True)), "mix-plan", one_file=True)
     ranked = _ranked(skinny, plan, seed).where(F.col("q").isNotNull() & (F.col("size") > 0))
     open_rows, cut = ranked, plan.select("of", "lack")
     for k, b in enumerate(("b1", "b2"), 1):
@@ -111,7 +111,7 @@ def plan_mix(skinny: DataFrame, weights: tuple[float, ...], max_copies: int, see
         held = held.withColumn("before", F.coalesce(F.sum("held").over(so_far), F.lit(0)))
         at = held.join(cut, _same(held, cut)).where((F.col("before") <= F.col("lack")) & (F.col("lack") < F.col("before") + F.col("held")))
         # A source without a cut lacks all that it has (sums of doubles may leave a hair): all of it is taken.
-        cut = kept(at.select("of", (F.col("lack") - F.col("before")).alias("lack"), F.col(b).alias(f"c{k}"), *[f"c{j}" for j in range(1, k)]), f"mix-cut{k}")
+        cut = kept(at.select("of", (F.col("lack") - F.col("before")).alias("lack"), F.col(b).alias(f"c{k}"), *[f"c{j}" for j in range(1, k)]), f"mix-cut{k}", one_file=True)
         own = cut.select("of", f"c{k}")
         open_rows = open_rows.join(own, _same(open_rows, own) & (open_rows[b] == own[f"c{k}"])).drop("of", f"c{k}")
     last = open_rows.groupBy("source", "q", "id").agg(F.sum("size").alias("held"))
@@ -120,13 +120,13 @@ def plan_mix(skinny: DataFrame, weights: tuple[float, ...], max_copies: int, see
     last = last.join(cut.select("of", F.col("lack").alias("left")), last["source"].eqNullSafe(F.col("of"))).where(F.col("upto") <= F.col("left"))
     edge = last.groupBy(F.col("of").alias("of2")).agg(F.max(F.struct("q", "id")).alias("edge"), F.max("upto").alias("upto"))
     cut = cut.join(edge, F.col("of").eqNullSafe(F.col("of2")), "left").drop("of2")
-    cut = kept(cut.withColumn("lack", F.col("lack") - F.coalesce("upto", F.lit(0))).drop("upto"), "mix-edge")
+    cut = kept(cut.withColumn("lack", F.col("lack") - F.coalesce("upto", F.lit(0))).drop("upto"), "mix-edge", one_file=True)
     # What is still lacking: the one document that comes nearest.
     rest = ranked.drop("lack").join(cut, _same(ranked, cut)).where(~_inside()).groupBy("of", "lack", "q", "id").agg(F.sum("size").alias("held"))
     rest = rest.withColumn("off", F.abs(F.col("held") - F.col("lack"))).where(F.col("off") < F.col("lack"))
     fill = rest.groupBy(F.col("of").alias("of2")).agg(F.min(F.struct("off", "q", "id"))["id"].alias("id"))
     fill = fill.select("of2", F.struct("id").alias("fill"))
-    return plan, kept(cut.drop("lack").join(fill, F.col("of").eqNullSafe(F.col("of2")), "left").drop("of2"), "mix-fill")
+    return plan, kept(cut.drop("lack").join(fill, F.col("of").eqNullSafe(F.col("of2")), "left").drop("of2"), "mix-fill", one_file=True)
 
 
 def _inside() -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 PIECE_BYTES = 1 << 19
 #: The same for scans that deal out packed rows by range, which are fewer and larger then.
 PACKED_BYTES = 1 << 20
+#: Bytes of a row group of a step's table.
+ROW_GROUP = 16 << 20
 #: Rows of a slice, where texts are short.
 PIECE_ROWS = 1 << 13
 
@@ -30,11 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written in the shared folder: its lineage is cut and lost executors cost nothing."""
+def kept(df: DataFrame, name: str, one_file: bool = False) -> DataFrame:
+    """df as a table written in the shared folder: its lineage is cut and lost executors cost nothing. one_file: for a table of a few rows, as many as there are sources or slots."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lagweave-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # A writer holds a row group; those of a step are read once or twice, so that small ones do.
+    (df.repartition(1) if one_file else df).write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -157,7 +157,7 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, twins: list[tuple[np.ndarray
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = 20_000, n_features: int = 2_000, swaps: int = 3, seed: int = 17, fair: float = 1.0) -> Model:
     """docs: texts; labels: the labels to learn from, by id. The sample is taken of the labels, so that it alone is broadcast and no text is shuffled."""
     chosen = bounded_sample(labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y")), "id", sample_rows, seed)
-    sample = kept(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(kept(chosen, "toxicity-labels")), "id"), "toxicity-sample")
+    sample = kept(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(kept(chosen, "toxicity-labels", one_file=True)), "id"), "toxicity-sample")
     tally = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     pos, neg = tally.get(1, 0), tally.get(0, 0)
     if not pos or not neg:
