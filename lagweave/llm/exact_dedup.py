@@ -42,10 +42,11 @@ def directory(keys: DataFrame, capacity: int, max_depth: int = MAX_DEPTH) -> Dat
     slots = keys.groupBy(_prefix(F.col("key"), F.lit(max_depth)).alias("slot")).count()
     level = slots.select("slot", "count", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("d"))
     level = level.withColumn("bucket", F.floor(F.col("slot") / F.pow(F.lit(2.0), F.lit(max_depth) - F.col("d"))).cast("long"))
-    held = level.groupBy("d", "bucket").agg(F.sum("count").alias("held"))
-    fits = level.join(held, ["d", "bucket"]).where((F.col("held") <= capacity) | (F.col("d") == max_depth))
-    best = fits.groupBy("slot").agg(F.min(F.struct("d", "bucket")).alias("b"))
-    return best.select("slot", F.expr("shiftleft(1L, b.d) + b.bucket").alias("bucket"), F.col("b.d").alias("local_depth"))
+    full = level.groupBy("d", "bucket").agg(F.sum("count").alias("held")).where((F.col("held") > capacity) & (F.col("d") < max_depth))
+    # Overfull buckets are 2**max_depth at most. A slot's bucket is one level below the deepest of them that it is in.
+    depth = level.join(F.broadcast(full), ["d", "bucket"], "left").groupBy("slot").agg(F.max(F.when(F.col("held").isNotNull(), F.col("d") + 1).otherwise(0)).alias("local_depth"))
+    bucket = F.floor(F.col("slot") / F.pow(F.lit(2.0), F.lit(max_depth) - F.col("local_depth"))).cast("long")
+    return depth.select("slot", (F.expr("shiftleft(1L, local_depth)") + bucket).alias("bucket"), "local_depth")
 
 
 def located(rows: DataFrame, slots: DataFrame) -> DataFrame:
