@@ -102,6 +102,6 @@ def gammatone(x: np.ndarray, centre: float, rate: float) -> np.ndarray:
 
 
 def envelope(x: np.ndarray, rate: float, centres: list[float], power: float = 0.6) -> np.ndarray:
-    """Mean over the bands under the Nyquist rate of the rectified, compressed output."""
-    bands = [np.maximum(gammatone(x, c, rate), 0) ** power for c in centres if c < rate / 2]
+    """Mean over the bands under the Nyquist rate of the output's absolute value, compressed."""
+    bands = [np.abs(gammatone(x, c, rate)) ** power for c in centres if c < rate / 2]
     return np.mean(bands, axis=0)

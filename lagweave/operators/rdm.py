@@ -52,12 +52,20 @@ def jaccard(a: Column, b: Column) -> Column:
 METRICS: dict[str, Callable[[Column, Column], Column]] = {"euclidean": euclidean, "cosine": cosine, "correlation": correlation, "hamming": hamming, "jaccard": jaccard}
 
 
-def rdm(windows: DataFrame, trajectory: DataFrame, length: int, metric: str) -> DataFrame:
-    """iteration, offset, i, j, d with i < j: a self-join on (iteration, offset), as many rows as there are pairs of drawn windows."""
-    g = gather(windows, trajectory, length)
-    a = g.select("iteration", "offset", F.col("win").alias("i"), F.col("features").alias("fa"))
-    b = g.select("iteration", "offset", F.col("win").alias("j"), F.col("features").alias("fb"))
-    return a.join(b, ["iteration", "offset"]).where("i < j").select("iteration", "offset", "i", "j", METRICS[metric](F.col("fa"), F.col("fb")).alias("d"))
+def rdm(windows: DataFrame, trajectory: DataFrame, length: int, metric: str | Column, by: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+    """by, carry, iteration, offset, i, j, d with i < j: a self-join on (by, carry, iteration, offset), as many rows as there are pairs of drawn windows.
+
+    by: keys of windows and trajectory (subject, session); carry: keys of the
+    trajectory alone (signal). metric: a name, or a column of names for signals
+    that have their own.
+    """
+    keys = [*by, *carry, "iteration", "offset"]
+    g = gather(windows, trajectory, length, by, carry)
+    a = g.select(*keys, F.col("win").alias("i"), F.col("features").alias("fa"))
+    b = g.select(*keys, F.col("win").alias("j"), F.col("features").alias("fb"))
+    fa, fb = F.col("fa"), F.col("fb")
+    d = METRICS[metric](fa, fb) if isinstance(metric, str) else F.coalesce(*[F.when(metric == name, f(fa, fb)) for name, f in METRICS.items()])
+    return a.join(b, keys).where("i < j").select(*keys, "i", "j", d.alias("d"))
 
 
 def zscored(rows: DataFrame, column: str, by: tuple[str, ...]) -> DataFrame:
@@ -83,9 +91,10 @@ def distances(x: np.ndarray, metric: str) -> np.ndarray:
     return np.where(some.any(1), (differ & some).sum(1) / np.maximum(some.sum(1), 1), 0.0)
 
 
-def rdm_blocks(windows: DataFrame, trajectory: DataFrame, length: int, metric: str) -> DataFrame:
-    """iteration, offset, d: the pairs' distances as one array, z-scored; a task holds one iteration's windows."""
-    g = gather(windows, trajectory, length)
+def rdm_blocks(windows: DataFrame, trajectory: DataFrame, length: int, metric: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, iteration, offset, z: the pairs' distances as one array, z-scored; a task holds one iteration's windows."""
+    g = gather(windows, trajectory, length, by)
+    kinds = dict(g.dtypes)
 
     def run(t):  # noqa: ANN001, ANN202
         win, off = t.column("win").to_numpy(), t.column("offset").to_numpy()
@@ -96,6 +105,8 @@ def rdm_blocks(windows: DataFrame, trajectory: DataFrame, length: int, metric: s
             d = distances(x[at[np.argsort(win[at])]], metric)
             out.append((d - d.mean()) / (d.std() or 1.0))
         it = t.column("iteration")[0].as_py()
-        return pa.table({"iteration": pa.array([it] * length, pa.int32()), "offset": pa.array(range(length), pa.int32()), "z": pa.array([d.tolist() for d in out], pa.list_(pa.float64()))})
+        own = {c: pa.array([t.column(c)[0].as_py()] * length, t.schema.field(c).type) for c in by}
+        return pa.table({**own, "iteration": pa.array([it] * length, pa.int32()), "offset": pa.array(range(length), pa.int32()), "z": pa.array([d.tolist() for d in out], pa.list_(pa.float64()))})
 
-    return g.select(F.col("iteration").cast("int"), "win", "offset", "features").groupBy("iteration").applyInArrow(run, "iteration int, offset int, z array<double>")
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in by) + "iteration int, offset int, z array<double>"
+    return g.select(*by, F.col("iteration").cast("int"), "win", "offset", "features").groupBy(*by, "iteration").applyInArrow(run, schema)

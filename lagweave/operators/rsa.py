@@ -7,28 +7,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rdm import rdm, rdm_blocks, zscored
 
-def rsa(neural: DataFrame, model: DataFrame) -> DataFrame:
-    """t_neural, t_model, r: the mean product of z over pairs, then over iterations; z-scored RDM rows (iteration, offset, i, j, z)."""
-    n = neural.select("iteration", "i", "j", F.col("offset").alias("t_neural"), F.col("z").alias("zn"))
-    m = model.select("iteration", "i", "j", F.col("offset").alias("t_model"), F.col("z").alias("zm"))
-    each = n.join(m, ["iteration", "i", "j"]).groupBy("iteration", "t_neural", "t_model").agg(F.avg(F.col("zn") * F.col("zm")).alias("r"))
-    return each.groupBy("t_neural", "t_model").agg(F.avg("r").alias("r"))
 
+def rsa(neural: DataFrame, model: DataFrame, by: tuple[str, ...] = (), models: tuple[str, ...] = ()) -> DataFrame:
+    """by, models, t_neural, t_model, r: the mean product of z over pairs, then over iterations; z-scored RDM rows (by, iteration, offset, i, j, z). by: keys of both sides; models: keys of the model side alone."""
+    keys = [*by, "iteration", "i", "j"]
+    n = neural.select(*keys, F.col("offset").alias("t_neural"), F.col("z").alias("zn"))
+    m = model.select(*keys, *models, F.col("offset").alias("t_model"), F.col("z").alias("zm"))
+    each = n.join(m, keys).groupBy(*by, *models, "iteration", "t_neural", "t_model").agg(F.avg(F.col("zn") * F.col("zm")).alias("r"))
+    return each.groupBy(*by, *models, "t_neural", "t_model").agg(F.avg("r").alias("r"))
 
-def rsa_blocks(neural: DataFrame, model: DataFrame) -> DataFrame:
-    """The same of blocks (iteration, offset, z): a matrix product for each iteration, then a mean. For more than about 10**8 joined rows of :func:`rsa`."""
+
+def rsa_blocks(neural: DataFrame, model: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The same of blocks (by, iteration, offset, z): a matrix product for each iteration, then a mean. For more than about 10**8 joined rows of :func:`rsa`."""
+    kinds = dict(neural.dtypes)
 
     def run(n, m):  # noqa: ANN001, ANN202
         if not n.num_rows or not m.num_rows:
-            return pa.table({"t_neural": pa.array([], pa.int32()), "t_model": pa.array([], pa.int32()), "r": pa.array([], pa.float64())})
+            return pa.table({**{c: pa.array([], n.schema.field(c).type) for c in by}, "t_neural": pa.array([], pa.int32()), "t_model": pa.array([], pa.int32()), "r": pa.array([], pa.float64())})
         a, b = (np.array(x.sort_by("offset").column("z").to_pylist()) for x in (n, m))
         r = a @ b.T / a.shape[1]
         i, j = np.indices(r.shape)
-        return pa.table({"t_neural": pa.array(i.ravel().astype(np.int32)), "t_model": pa.array(j.ravel().astype(np.int32)), "r": pa.array(r.ravel())})
+        own = {c: pa.array([n.column(c)[0].as_py()] * r.size, n.schema.field(c).type) for c in by}
+        return pa.table({**own, "t_neural": pa.array(i.ravel().astype(np.int32)), "t_model": pa.array(j.ravel().astype(np.int32)), "r": pa.array(r.ravel())})
 
-    each = neural.groupBy("iteration").cogroup(model.groupBy("iteration")).applyInArrow(run, "t_neural int, t_model int, r double")
-    return each.groupBy("t_neural", "t_model").agg(F.avg("r").alias("r"))
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in by) + "t_neural int, t_model int, r double"
+    each = neural.groupBy(*by, "iteration").cogroup(model.groupBy(*by, "iteration")).applyInArrow(run, schema)
+    return each.groupBy(*by, "t_neural", "t_model").agg(F.avg("r").alias("r"))
 
 
 #: Rows of the relational join from which the block path is taken.
@@ -39,6 +45,14 @@ def choose_path(iterations: int, windows: int, length: int) -> str:
     return "block" if iterations * length * length * windows * (windows - 1) // 2 > CROSSOVER else "relational"
 
 
+def similarity(windows: DataFrame, neural: DataFrame, model: DataFrame, iterations: int, n: int, length: int, metrics: tuple[str, str] = ("euclidean", "euclidean"), by: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
+    """by, t_neural, t_model, r of two trajectories (by, t, features) in the windows (by, iteration, win, start), by the path that suits the number of joined rows (of one key), or by the one named."""
+    if (path or choose_path(iterations, n, length)) == "block":
+        return rsa_blocks(*[rdm_blocks(windows, x, length, k, by) for x, k in zip((neural, model), metrics, strict=True)], by)
+    sides = [zscored(rdm(windows, x, length, k, by), "d", (*by, "iteration", "offset")) for x, k in zip((neural, model), metrics, strict=True)]
+    return rsa(*sides, by)
+
+
 def lag_curve(matrix: DataFrame, reach: int, by: tuple[str, ...] = ()) -> DataFrame:
     """lag = t_neural - t_model, mean of r on that diagonal; undefined cells don't count."""
     lag = (F.col("t_neural") - F.col("t_model")).alias("lag")
@@ -57,13 +71,19 @@ def peak(curve: DataFrame, by: tuple[str, ...] = (), absolute: bool = False) ->
     return curve.where(F.col("r").isNotNull()).groupBy(*by).agg(best).select(*by, F.col("p.lag").alias("peak_lag"), F.col("p.r").alias("peak_r"))
 
 
-def border(curve: DataFrame, threshold: float, reach: int) -> DataFrame:
-    """The farthest lag of a self-similarity curve that reaches the threshold; 0 if none does, reach at most."""
-    far = F.max(F.when(F.abs("r") >= threshold, F.abs("lag")))
+def border(curve: DataFrame, threshold: float, reach: int, legacy: bool = False) -> DataFrame:
+    """The farthest lag of a self-similarity curve that reaches the threshold; 0 if none does, reach at most. legacy: the largest signed lag whose signed r is above it."""
+    far = F.max(F.when(F.col("r") > threshold, F.col("lag"))) if legacy else F.max(F.when(F.abs("r") >= threshold, F.abs("lag")))
     return curve.agg(F.least(F.coalesce(far, F.lit(0)), F.lit(reach)).cast("int").alias("border"))
 
 
-def nearest_time(series: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """tau and the point of the series nearest to it; of ties the earlier."""
-    w = Window.partitionBy("tau").orderBy(F.abs(F.col("sec") - F.col("tau")), "t")
-    return series.join(F.broadcast(snapshots), F.lit(True)).withColumn("k", F.row_number().over(w)).where("k = 1").select("tau", "t")
+def nearest_time(series: DataFrame, snapshots: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, tau and the point t of the series (by, t, sec) nearest to it; of ties the earlier (of one time the smaller t). One merge of both sides by key and time, no join."""
+    point = F.struct("sec", "t")
+    points = series.groupBy(*by, "sec").agg(F.min("t").alias("t")).select(*by, "sec", F.lit(None).cast("double").alias("tau"), point.alias("p"))
+    rows = points.unionByName(snapshots.select(*by, F.col("tau").alias("sec"), F.col("tau").cast("double").alias("tau")).withColumn("p", F.lit(None).cast(points.schema["p"].dataType)))
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("sec")
+    rows = rows.withColumn("before", F.last("p", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("after", F.first("p", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    rows = rows.where(F.col("tau").isNotNull())
+    later = F.col("before").isNull() | (F.col("after.sec") - F.col("tau") < F.col("tau") - F.col("before.sec"))
+    return rows.select(*by, "tau", F.when(later, F.col("after.t")).otherwise(F.col("before.t")).alias("t"))

@@ -157,8 +157,17 @@ def percentile_clip(rows: DataFrame, column: str, q: float) -> DataFrame:
     return rows.join(F.broadcast(bar), F.lit(True)).withColumn(column, F.greatest(F.least(F.col(column), F.col("bar")), -F.col("bar"))).drop("bar")
 
 
+def clip_twice(epochs: DataFrame, column: str, q: float, by: tuple[str, ...], base: Column) -> DataFrame:
+    """Clipped and brought to its baseline (the mean of the rows where base holds, in each group of by), and both again."""
+    for _ in range(2):
+        epochs = percentile_clip(epochs, column, q)
+        w = Window.partitionBy(*by)
+        epochs = epochs.withColumn(column, F.col(column) - F.coalesce(F.avg(F.when(base, F.col(column))).over(w), F.lit(0.0)))
+    return epochs
+
+
 def lda_decode(rows: DataFrame, by: str, folds: int = 5) -> DataFrame:
-    """by, n, score: correlation of held-out LDA probabilities with the values (row, features, y); classes are split at the median, folds by a hash of the row.
+    """by, n, score: correlation of held-out LDA probabilities with the classes (row, features, y); more than two values are split at their median, two are the classes; folds by a hash of the row.
 
     Each group (a time point) is a task; it holds the epochs of one recording.
     """
@@ -167,7 +176,7 @@ def lda_decode(rows: DataFrame, by: str, folds: int = 5) -> DataFrame:
     def run(t):  # noqa: ANN001, ANN202
         order = np.argsort(t.column("row").to_numpy())
         x, y, fold = np.array(t.column("features").to_pylist(), float)[order], t.column("y").to_numpy()[order].astype(float), t.column("fold").to_numpy()[order]
-        label, p = (y > np.median(y)).astype(int), np.full(len(y), 0.5)
+        label, p = (y > (np.median(y) if len(np.unique(y)) > 2 else y.min())).astype(int), np.full(len(y), 0.5)
         for f in range(folds):
             tr, te = fold != f, fold == f
             if te.any() and 0 < label[tr].sum() < tr.sum():
@@ -178,7 +187,7 @@ def lda_decode(rows: DataFrame, by: str, folds: int = 5) -> DataFrame:
                 b = np.linalg.pinv(w) @ (m[1] - m[0])
                 c0 = np.log(label[tr].mean() / (1 - label[tr].mean())) - (m[0] + m[1]) @ b / 2
                 p[te] = 1 / (1 + np.exp(-np.clip(z[te] @ b + c0, -500, 500)))
-        ok = p.std() > 0 and y.std() > 0
-        return pa.table({"by": pa.array([t.column("by")[0].as_py()], pa.int32()), "n": pa.array([len(y)], pa.int64()), "score": pa.array([float(np.corrcoef(p, y)[0, 1]) if ok else None], pa.float64())})
+        ok = p.std() > 0 and label.std() > 0
+        return pa.table({"by": pa.array([t.column("by")[0].as_py()], pa.int32()), "n": pa.array([len(y)], pa.int64()), "score": pa.array([float(np.corrcoef(p, label)[0, 1]) if ok else None], pa.float64())})
 
     return keyed.withColumn("by", F.col("by").cast("int")).groupBy("by").applyInArrow(run, "by int, n bigint, score double").withColumnRenamed("by", by)

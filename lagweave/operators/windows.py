@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,11 +12,11 @@ def random_key(seed: int, *parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
 
 
-def valid_starts(mask: DataFrame, length: int) -> DataFrame:
-    """start of every window whose points are all there and valid."""
-    w = Window.orderBy("t").rowsBetween(0, length - 1)
-    ok = mask.select("t", F.min(F.col("valid").cast("int")).over(w).alias("all"), F.count(F.lit(1)).over(w).alias("n"), (F.max("t").over(w) - F.col("t") + 1).alias("span"))
-    return ok.where((F.col("all") == 1) & (F.col("n") == length) & (F.col("span") == length)).select(F.col("t").alias("start"))
+def valid_starts(mask: DataFrame, length: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, start of every window whose points are all there and valid. A task holds one grid (of a subject, where by names it)."""
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("t").rowsBetween(0, length - 1)
+    ok = mask.select(*by, "t", F.min(F.col("valid").cast("int")).over(w).alias("all"), F.count(F.lit(1)).over(w).alias("n"), (F.max("t").over(w) - F.col("t") + 1).alias("span"))
+    return ok.where((F.col("all") == 1) & (F.col("n") == length) & (F.col("span") == length)).select(*by, F.col("t").alias("start"))
 
 
 def onset_starts(onsets: DataFrame, rate: float, length: int, n_times: int, centre: bool = False) -> DataFrame:
@@ -28,11 +27,14 @@ def onset_starts(onsets: DataFrame, rate: float, length: int, n_times: int, cent
     return ok.select(start.cast("int").alias("start")).where((F.col("start") >= 0) & (F.col("start") <= n_times - length)).distinct()
 
 
-def draw_windows(starts: DataFrame, iterations: int, n: int, seed: int) -> DataFrame:
-    """iteration, win, start: n starts of each iteration in random order; windows may overlap."""
-    rows = starts.select("start", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
-    w = Window.partitionBy("iteration").orderBy(random_key(seed, F.col("iteration"), F.col("start")), "start")
-    return rows.withColumn("win", F.row_number().over(w) - 1).where(F.col("win") < n).select("iteration", "win", "start")
+def draw_windows(starts: DataFrame, iterations: int, n: int, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, iteration, win, start: n starts of each iteration in random order; windows may overlap. Fewer than n starts are an error."""
+    rows = starts.select(*by, "start", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
+    own = Window.partitionBy(*by, "iteration")
+    w = own.orderBy(random_key(seed, *[F.col(c) for c in by], F.col("iteration"), F.col("start")), "start")
+    few = F.count(F.lit(1)).over(own) < n
+    win = F.when(few, F.raise_error(F.lit(f"fewer than {n} windows can start")).cast("int")).otherwise(F.row_number().over(w) - 1)
+    return rows.withColumn("win", win).where(F.col("win") < n).select(*by, "iteration", "win", "start")
 
 
 def draw_apart(starts: DataFrame, iterations: int, n: int, length: int, seed: int) -> DataFrame:
@@ -59,18 +61,12 @@ def permute_windows(windows: DataFrame, seed: int) -> DataFrame:
     return windows.select("iteration", (F.row_number().over(w) - 1).alias("win"), "start")
 
 
-def gather(windows: DataFrame, trajectory: DataFrame, length: int) -> DataFrame:
-    """iteration, win, offset, features."""
-    at = windows.select("iteration", "win", "start", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("offset")).withColumn("t", F.col("start") + F.col("offset"))
-    return at.join(trajectory, "t").select("iteration", "win", "offset", "features")
+def gather(windows: DataFrame, trajectory: DataFrame, length: int, by: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+    """by, iteration, win, offset, features, and the trajectory's columns named in carry (a signal, so that one plan gathers all)."""
+    at = windows.select(*by, "iteration", "win", "start", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("offset")).withColumn("t", F.col("start") + F.col("offset"))
+    return at.join(trajectory, [*by, "t"]).select(*by, *carry, "iteration", "win", "offset", "features")
 
 
 def coverage(windows: DataFrame, length: int) -> DataFrame:
     """How many windows of an iteration hold a point."""
     return windows.select("iteration", F.explode(F.sequence(F.col("start"), F.col("start") + length - 1)).alias("t")).groupBy("iteration", "t").agg(F.count(F.lit(1)).alias("n"))
-
-
-def starts_array(windows: DataFrame) -> np.ndarray:
-    """Starts by iteration and window; as many as the analysis draws, never data."""
-    rows = windows.orderBy("iteration", "win").collect()
-    return np.array([r["start"] for r in rows]).reshape(rows[-1]["iteration"] + 1, -1)

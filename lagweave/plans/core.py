@@ -165,10 +165,12 @@ def regression_border(spark: SparkSession, d: str) -> DataFrame:
     return S.border(S.lag_curve(S.rsa(z, z), REACH), 0.05, REACH)
 
 
-@query("WITH t AS (SELECT CAST(i AS INTEGER) AS t, i * 0.25::DOUBLE AS sec FROM range(40) a(i)), s AS (SELECT * FROM (VALUES (0.3::DOUBLE), (1.9), (5.125), (99.0)) x(tau)) SELECT tau, arg_min(t, abs(sec - tau)) AS t FROM s, t GROUP BY tau")
+@query(spread(EV, "s AS (SELECT subject, sec AS tau FROM ev WHERE event_type = 'signup')", "p AS (SELECT subject, sec, min(event_id) AS t FROM ev WHERE event_type = 'click' GROUP BY 1, 2)", "b AS (SELECT s.subject, s.tau, p.sec, p.t FROM s ASOF JOIN p ON s.subject = p.subject AND s.tau >= p.sec)", "a AS (SELECT s.subject, s.tau, p.sec, p.t FROM s ASOF JOIN p ON s.subject = p.subject AND s.tau <= p.sec)") + "SELECT subject, tau, arg_min(t, (abs(sec - tau), sec)) AS t FROM (SELECT DISTINCT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) GROUP BY 1, 2")
 def nearest_time(spark: SparkSession, d: str) -> DataFrame:
-    series = spark.range(40).select(F.col("id").cast("int").alias("t"), (F.col("id") * 0.25).alias("sec"))
-    return S.nearest_time(series, spark.createDataFrame([(0.3,), (1.9,), (5.125,), (99.0,)], "tau double"))
+    """The click nearest to each of a subject's sign-ups."""
+    ev = D.events(spark, d)
+    series = ev.where("event_type = 'click'").select("subject", F.col("event_id").alias("t"), "sec")
+    return S.nearest_time(series, ev.where("event_type = 'signup'").select("subject", F.col("sec").alias("tau")).distinct(), ("subject",))
 
 
 def _regression(method: str, sql: str | None = None, **options: float) -> None:

@@ -49,15 +49,8 @@ def voicing_lookup(spark: SparkSession, d: str) -> DataFrame:
     return D.events(spark, d).select(base).join(F.broadcast(dim), "phoneme", "left").groupBy("phoneme", "voicing").agg(F.count(F.lit(1)).alias("segments"))
 
 
-@query(spread(EV) + "SELECT event_id, sec + 0.0 AS onset, sec + k AS offset_sec, event_type AS kind FROM ev WHERE value IS NOT NULL AND sec BETWEEN 86400 AND 172800")
-def annotation_frame(spark: SparkSession, d: str) -> DataFrame:
-    ev = D.events(spark, d).where(F.col("value").isNotNull() & F.col("sec").between(86400, 172800))
-    return ev.select("event_id", F.col("sec").alias("onset"), (F.col("sec") + F.col("k")).alias("offset_sec"), F.col("event_type").alias("kind"))
-
-
 @query(spread(EV) + "SELECT event_id, sec + 0.0 AS onset, sec + k AS offset_sec, event_type AS kind FROM ev")
-def annotation_frame_all(spark: SparkSession, d: str) -> DataFrame:
-    """annotation_frame of every event; the SQL of that one has a day and no null values."""
+def annotation_frame(spark: SparkSession, d: str) -> DataFrame:
     return D.events(spark, d).select("event_id", F.col("sec").alias("onset"), (F.col("sec") + F.col("k")).alias("offset_sec"), F.col("event_type").alias("kind"))
 
 
@@ -76,20 +69,13 @@ def sequence_segments(spark: SparkSession, d: str) -> DataFrame:
     return D.events(spark, d).groupBy(F.floor(F.col("t") / 4).cast("int").alias("sequence_id")).agg(F.round(F.min("sec"), 4).alias("onset"), F.round(F.max(F.col("sec") + F.col("k")), 4).alias("offset_sec"), F.min_by("event_type", "event_id").alias("story"), F.min("k").alias("audio_start"))
 
 
-@query(spread(EV) + "SELECT t, count(*) FILTER (WHERE event_type <> 'error') AS kept, count(*) FILTER (WHERE k < 0 OR k > 90) AS dropped FROM ev GROUP BY t")
+@query(spread(EV) + "SELECT t, count(*) FILTER (WHERE k BETWEEN 0 AND 90) AS kept, count(*) FILTER (WHERE k < 0 OR k > 90) AS dropped FROM ev GROUP BY t")
 def range_filter_counts(spark: SparkSession, d: str) -> DataFrame:
-    return D.events(spark, d).groupBy("t").agg(F.count_if(F.col("event_type") != "error").alias("kept"), F.count_if(~F.col("k").between(0, 90)).alias("dropped"))
-
-
-@query(spread(EV) + "SELECT event_id, event_type FROM (SELECT event_id, event_type, lag(event_type) OVER (ORDER BY event_id) AS before FROM ev WHERE t < 12) WHERE before = 'view'")
-def adjacency_shift(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.orderBy("event_id")
-    return D.events(spark, d).where("t < 12").withColumn("before", F.lag("event_type").over(w)).where("before = 'view'").select("event_id", "event_type")
+    return D.events(spark, d).groupBy("t").agg(F.count_if(F.col("k").between(0, 90)).alias("kept"), F.count_if(~F.col("k").between(0, 90)).alias("dropped"))
 
 
 @query(spread(EV) + "SELECT event_id, event_type FROM (SELECT event_id, event_type, lag(event_type) OVER (ORDER BY event_id) AS before FROM ev) WHERE before = 'view'")
-def adjacency_shift_all(spark: SparkSession, d: str) -> DataFrame:
-    """adjacency_shift over every event; the SQL of that one has three days."""
+def adjacency_shift(spark: SparkSession, d: str) -> DataFrame:
     return T.after(D.events(spark, d).select("event_id", "event_type"), "event_id", "event_type", "view")
 
 
@@ -154,12 +140,12 @@ def mask_intervals(spark: SparkSession, d: str) -> DataFrame:
     return T.intervals(D.mask(D.events(spark, d)))
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1")
+@query("SELECT l_orderkey, l_linenumber, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM lineitem")
 def concat_offsets(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("n"))
-    same = Window.partitionBy("l_orderkey", "l_linenumber")
-    seg = T.offsets(rows, "l_linenumber", "n", ("l_orderkey",)).withColumn("c", F.count(F.lit(1)).over(same))
-    return seg.where("c = 1").select("l_orderkey", "l_linenumber", "offset")
+    """Segments of one number are in order of their other columns."""
+    order = ("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity")
+    rows = table(spark, d, "lineitem").select("l_orderkey", *order).withColumn("n", F.col("l_quantity").cast("bigint")).withColumn("at", F.struct(*order))
+    return T.offsets(rows, "at", "n", ("l_orderkey",)).select("l_orderkey", "l_linenumber", "offset")
 
 
 @query("SELECT 'orders' AS part, count(*) AS n, CAST(0 AS BIGINT) AS \"offset\" FROM orders UNION ALL SELECT 'customer', count(*), (SELECT count(*) FROM orders) FROM customer")
@@ -248,9 +234,9 @@ def vocab_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 @query(spread(_DOC_WORDS, "lw AS (SELECT lower(trim(word, '.,!?;:\"()[]{}')) AS w FROM dw)") + "SELECT w AS word, count(*) AS n, round(log10(count(*) * 1e9 / (SELECT count(*) FROM lw)), 2) AS zipf FROM lw WHERE w <> '' GROUP BY 1")
 def zipf_frequency(spark: SparkSession, d: str) -> DataFrame:
-    w = _words(spark, d).select(F.lower(F.btrim("word", F.lit(X.PUNCTUATION))).alias("word"))
-    total = w.agg(F.count(F.lit(1)).alias("total"))
-    return w.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total), F.lit(True)).select("word", "n", F.round(X.zipf(F.col("n"), F.col("total")), 2).alias("zipf"))
+    counts = _words(spark, d).select(F.lower(F.btrim("word", F.lit(X.PUNCTUATION))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.where("word <> ''").join(F.broadcast(total), F.lit(True)).select("word", "n", F.round(X.zipf(F.col("n"), F.col("total")), 2).alias("zipf"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm FROM embeddings")
@@ -446,12 +432,10 @@ def lda_decode(spark: SparkSession, d: str) -> DataFrame:
     return St.lda_decode(rows, "time").select("time", "n", r6("score").alias("score"))
 
 
-@query("SELECT doc_id, round((row_number() OVER (ORDER BY doc_id) - 1) / (count(*) OVER () - 1)) AS half FROM documents")
+@query("SELECT doc_id, round_even((row_number() OVER (ORDER BY doc_id) - 1) / greatest(count(*) OVER () - 1, 1), 0) AS half FROM documents")
 def half_label(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.orderBy("doc_id")
-    docs = table(spark, d, "documents").select("doc_id")
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    return docs.withColumn("rn", F.row_number().over(w)).join(F.broadcast(n), F.lit(True)).select("doc_id", F.rint((F.col("rn") - 1) / (F.col("n") - 1)).alias("half"))
+    rows = T.ranked(table(spark, d, "documents").select("doc_id"), "doc_id")
+    return rows.select("doc_id", F.rint((F.col("rn") - 1) / F.greatest(F.col("n") - 1, F.lit(1))).alias("half"))
 
 
 # Names and constants.

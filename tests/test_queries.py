@@ -43,9 +43,9 @@ def test_annotations_and_neighbours_of_every_event(spark, sf_dir):
     from lagweave.operators.timegrid import after
 
     events = sorted((r["event_id"], r["event_type"]) for r in spark.read.parquet(f"{sf_dir}/events.parquet").collect())
-    assert sorted(r["event_id"] for r in catalog.QUERIES["annotation_frame_all"](spark, sf_dir).collect()) == [i for i, _ in events]
+    assert sorted(r["event_id"] for r in catalog.QUERIES["annotation_frame"](spark, sf_dir).collect()) == [i for i, _ in events]
     want = [b for (_, kind), b in zip(events, events[1:], strict=False) if kind == "view"]
-    assert sorted(tuple(r) for r in catalog.QUERIES["adjacency_shift_all"](spark, sf_dir).collect()) == want
+    assert sorted(tuple(r) for r in catalog.QUERIES["adjacency_shift"](spark, sf_dir).collect()) == want
     df = spark.createDataFrame(events, "event_id long, event_type string")
     assert sorted(tuple(r) for r in after(df, "event_id", "event_type", "view", span=7).collect()) == want
 
