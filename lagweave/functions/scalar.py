@@ -103,3 +103,35 @@ def hash_uniform(*parts: Column) -> Column:
 def hash_normal(*parts: Column) -> Column:
     """Standard normal by Box and Muller of two hashes."""
     return F.sqrt(-2 * F.log(hash_uniform(*parts, F.lit("a")))) * F.cos(2 * math.pi * hash_uniform(*parts, F.lit("b")))
+
+
+def analysis_name(x: Column) -> Column:
+    """A name that may be a folder's; an error where nothing is left of it."""
+    out = F.btrim(F.regexp_replace(F.regexp_replace(F.trim(x), r"[^A-Za-z0-9_\-]+", "_"), "_+", "_"), F.lit("_.-"))
+    return F.when(out == "", F.raise_error(F.lit("an analysis needs a name"))).otherwise(out)
+
+
+def duration_text(seconds: Column) -> Column:
+    """2h 5m, 3m 20s or 12s."""
+    s = F.floor(F.greatest(seconds, F.lit(0.0))).cast("long")
+    h, m = F.floor(s / 3600).cast("string"), F.floor(s % 3600 / 60).cast("string")
+    return F.when(s >= 3600, F.concat(h, F.lit("h "), m, F.lit("m"))).when(s >= 60, F.concat(m, F.lit("m "), (s % 60).cast("string"), F.lit("s"))).otherwise(F.concat(s.cast("string"), F.lit("s")))
+
+
+def size_text(n: Column) -> Column:
+    """1.5 KB: one decimal, halves to the even one, steps of 1024."""
+    out = F.format_string("%.1f TB", F.bround(n / 1024.0**4, 1))
+    for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB")))):
+        out = F.when(n < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", F.bround(n / 1024.0**k, 1))).otherwise(out)
+    return out
+
+
+def promoted(series, x: str):  # noqa: ANN001, ANN201
+    """A series (t, x) as one of vectors (t, features)."""
+    return series.withColumn("features", F.array(x)).drop(x)
+
+
+def merged_map(*maps: dict[str, int]) -> Column:
+    """A map column of dictionaries; later ones win."""
+    pairs = {k: v for m in maps for k, v in m.items()}
+    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])

@@ -135,3 +135,25 @@ def score_story(tokens: DataFrame, score: Callable[[list[str], int], list[float]
                 yield pa.RecordBatch.from_arrays([pa.array([row["doc"]] * len(words), pa.int64()), pa.array([x["pos"] for x in row["s"]], pa.int32()), pa.array(out, pa.float64())], ["doc", "pos", "score"])
 
     return packed.mapInArrow(run, "doc bigint, pos int, score double")
+
+
+def fixed_pieces(n: int) -> Callable[[Column], Column]:
+    """A tokenizer without a vocabulary: pieces of n characters."""
+    return lambda text: F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{n}}})"), F.lit(1))
+
+
+def tokenise_run(words: DataFrame, tokenize: Callable[[Column], Column]) -> DataFrame:
+    """words (doc, pos, token) with their pieces and the number of pieces before them in the story; every word but the first has a space before it. tokenize: a column function, a UDF of any tokenizer among them."""
+    w = Window.partitionBy("doc").orderBy("pos")
+    rows = words.withColumn("pieces", tokenize(F.when(F.row_number().over(w) > 1, F.concat(F.lit(" "), "token")).otherwise(F.col("token"))))
+    before = F.sum(F.size("pieces")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
+
+
+def pca_basis(rows: DataFrame, features: str, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Variances, components (rows, the largest loading positive) and mean of the features: of one pass of partial sums, whatever the rows."""
+    one = rows.select(F.concat(F.array(F.lit(1.0)), F.col(features).cast("array<double>")).alias("f"))
+    g = gram(one, "f", dim + 1)
+    n, mean = g[0, 0], g[0, 1:] / max(g[0, 0], 1)
+    s, v = svd_basis(g[1:, 1:] - n * np.outer(mean, mean), dim)
+    return s**2 / max(n - 1, 1), v, mean

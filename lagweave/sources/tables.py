@@ -37,16 +37,33 @@ def number(raw: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
-def vectors_text(spark: SparkSession, path: str, vocabulary: DataFrame | None = None) -> DataFrame:
-    """token, vector of a text file of vectors; only tokens in vocabulary (token), the last line of a token wins."""
+def vectors_of(lines: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """token, vector of lines (line, value); only tokens in vocabulary (token), the last line of a token wins."""
     parts = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), parts.alias("p")).where(F.size("p") > 2)
-    rows = rows.select("line", F.col("p")[0].alias("token"), F.transform(F.slice("p", 2, 1_000_000), lambda x: x.cast("double")).alias("vector"))
+    rows = lines.select("line", parts.alias("p")).where(F.size("p") > 2)
+    rows = rows.select("line", F.col("p")[0].alias("token"), F.transform(F.slice("p", F.lit(2), F.size("p") - 1), lambda x: x.cast("double")).alias("vector"))
     if vocabulary is not None:
         rows = rows.join(vocabulary.select("token").distinct(), "token", "left_semi")
     return rows.groupBy("token").agg(F.max_by("vector", "line").alias("vector"))
 
 
+def vectors_text(spark: SparkSession, path: str, vocabulary: DataFrame | None = None) -> DataFrame:
+    """:func:`vectors_of` the lines of a text file."""
+    return vectors_of(spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value"), vocabulary)
+
+
+def events_of(lines: DataFrame, schema: str, literal: str, column: str = "trial_type") -> DataFrame:
+    """Rows of tab-separated lines (value) with the fields of their literal column; those whose literal can't be read are skipped."""
+    row = lines.select(F.from_csv(F.regexp_replace("value", "^\ufeff", ""), schema, {"sep": "\t", "quote": ""}).alias("r")).select("r.*")
+    return row.withColumn("__a", parse_literal(F.col(column), literal)).where("__a is not null and __a.kind is not null").drop(column).select("*", "__a.*").drop("__a")
+
+
+def manifest_of(texts: DataFrame, fields: str, by: tuple[str, ...] = (), column: str = "json") -> DataFrame:
+    """by, seg_no and the fields of each segment of manifests that are JSON texts; the order is that of their lists."""
+    rows = texts.select(*by, F.from_json(column, f"segments array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>").alias("m"))
+    return rows.select(*by, F.posexplode("m.segments").alias("seg_no", "segment")).select(*by, "seg_no", "segment.*")
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """seg_no and the fields of each segment of a manifest; its order is that of the list."""
     return spark.read.json(path, multiLine=True).select(F.posexplode("segments").alias("seg_no", "segment")).select("seg_no", "segment.*")
