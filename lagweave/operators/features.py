@@ -157,3 +157,9 @@ def pca_basis(rows: DataFrame, features: str, dim: int) -> tuple[np.ndarray, np.
     n, mean = g[0, 0], g[0, 1:] / max(g[0, 0], 1)
     s, v = svd_basis(g[1:, 1:] - n * np.outer(mean, mean), dim)
     return s**2 / max(n - 1, 1), v, mean
+
+
+def story_hashes(words: DataFrame, settings: str) -> DataFrame:
+    """doc, story_hash, n of words (doc, pos, token): of the words in order, a line each, and of the settings (model, fingerprint, parameters) as text. A story is one row."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "\n")
+    return words.groupBy("doc").agg(F.sha2(F.concat(text, F.lit(settings)), 256).alias("story_hash"), F.count(F.lit(1)).alias("n"))

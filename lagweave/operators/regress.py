@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +22,12 @@ def ridge(x: np.ndarray, y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
 
 def elastic_net(x: np.ndarray, y: np.ndarray, alpha: float = 1.0, l1_ratio: float = 0.5, tol: float = 1e-10, rounds: int = 5000) -> np.ndarray:
     """Minimises |y - x b|^2 / (2 n) + alpha l1_ratio |b|_1 + alpha (1 - l1_ratio) |b|^2 / 2 by coordinate descent on the Gram matrix."""
-    n = len(y)
-    gram, c = x.T @ x / n, x.T @ y / n
-    l1, l2, b = alpha * l1_ratio, alpha * (1 - l1_ratio), np.zeros(x.shape[1])
+    return descend(x.T @ x / len(y), x.T @ y / len(y), alpha, l1_ratio, tol, rounds)
+
+
+def descend(gram: np.ndarray, c: np.ndarray, alpha: float, l1_ratio: float, tol: float = 1e-10, rounds: int = 5000) -> np.ndarray:
+    """Coordinate descent for :func:`elastic_net`; gram and c are means over rows."""
+    l1, l2, b = alpha * l1_ratio, alpha * (1 - l1_ratio), np.zeros(len(c))
     for _ in range(rounds):
         moved = 0.0
         for k in range(len(b)):
@@ -68,42 +71,96 @@ def fit(method: str, x: np.ndarray, y: np.ndarray, **options: float) -> tuple[np
 
 def design(models: list[np.ndarray], which: int, t_model: int, reach: int, border: int) -> np.ndarray:
     """Columns: the model itself at t_model, then the other models' offsets within reach, then its own farther than its border."""
-    length = len(models[which])
-    near = [t for t in range(length) if abs(t - t_model) <= reach]
-    own = [t for t in near if abs(t - t_model) > border]
-    rest = [m[near] for k, m in enumerate(models) if k != which]
-    return np.concatenate([models[which][[t_model]], *rest, models[which][own]]).T
+    at = columns([len(m) for m in models], which, t_model, reach, border)
+    return np.stack([models[k][t] for k, t in at]).T
 
 
-def cross_temporal(neural: DataFrame, models: dict[str, DataFrame], borders: dict[str, int], reach: int, method: str = "elasticnet", **options: float) -> DataFrame:
-    """model, t_neural, t_model, beta (of the model at t_model), r2: the means over iterations.
+def columns(lengths: list[int], which: int, t_model: int, reach: int, border: int) -> list[tuple[int, int]]:
+    """(model, offset) of the columns of :func:`design`."""
+    near = [[t for t in range(n) if abs(t - t_model) <= reach] for n in lengths]
+    rest = [(k, t) for k, ts in enumerate(near) if k != which for t in ts]
+    return [(which, t_model), *rest, *[(which, t) for t in near[which] if abs(t - t_model) > border]]
 
-    Blocks (iteration, offset, z) of the neural signal and of all models meet by
-    iteration; each neural offset is a task of its own, so that fits spread over
-    iterations times offsets. Cells farther apart than reach are never fitted.
+
+def solver(method: str, gram: np.ndarray, rows: int, options: dict[str, float]) -> tuple[Callable[[np.ndarray], np.ndarray], int | None]:
+    """From X'y / rows to the coefficients, for standardised columns with X'X / rows = gram; and the number of components, where there are any. What doesn't depend on y is done once."""
+    if method == "pcr":
+        value, vector = np.linalg.eigh(gram)
+        value, vector = np.maximum(value[::-1], 0), vector[:, ::-1]
+        k = int(np.searchsorted(np.cumsum(value) / max(value.sum(), 1e-300), options.get("explained", 0.85) - 1e-12) + 1)
+        v, w = vector[:, :k], np.where(value[:k] > 1e-12, value[:k], np.inf)
+        return lambda c: v @ ((v.T @ c) / w), k
+    if method == "ridge":
+        inverse = np.linalg.inv(gram * rows + options.get("alpha", 1.0) * np.eye(len(gram)))
+        return lambda c: inverse @ (c * rows), None
+    ratio = 1.0 if method == "lasso" else options.get("l1_ratio", 0.5)
+    return lambda c: descend(gram, c, options.get("alpha", 1.0), ratio), None
+
+
+def fits(neural: DataFrame, models: dict[str, DataFrame], borders: dict[str, int], reach: int, method: str = "elasticnet", by: tuple[str, ...] = (), predictors: tuple[str, ...] | None = None, **options: float) -> DataFrame:
+    """by, iteration, model, t_neural, t_model, beta (of the model at t_model), r2, components: a row for each fit.
+
+    Blocks (by, iteration, offset, z) of the neural signal and of all models meet by
+    iteration and by a band of 2 reach + 1 offsets of the models: each block goes to
+    the two or three bands whose fits it is part of, so that what is shuffled grows
+    with the RDMs. A band's Gram matrix is made once; fits of one design share
+    what doesn't depend on the neural offset. Cells farther apart than reach are
+    never fitted. predictors: models that may stand beside the one in question (all).
     """
     names = list(models)
-    rows = None
+    if not names:
+        raise ValueError("a regression needs a model")
+    beside = {k for k, n in enumerate(names) if predictors is None or n in predictors}
+    if method not in ("ridge", "lasso", "elasticnet", "pcr"):
+        raise ValueError(f"no method {method}")
+    wide = 2 * reach + 1
+    side = lambda df, k: df.select(*by, F.col("iteration").cast("int").alias("iteration"), F.lit(k).alias("side"), F.col("offset").cast("int").alias("offset"), "z")
+    rows = side(neural, -1)
     for k, name in enumerate(names):
-        one = models[name].select("iteration", F.lit(k).alias("model"), "offset", "z")
-        rows = one if rows is None else rows.unionByName(one)
-    packed = rows.groupBy("iteration").agg(F.sort_array(F.collect_list(F.struct("model", "offset", "z"))).alias("models"))
-    cells = neural.select("iteration", F.col("offset").alias("t_neural"), F.col("z").alias("y")).join(packed, "iteration").repartition("iteration", "t_neural")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                stacks = [np.array([m["z"] for m in row["models"] if m["model"] == k]) for k in range(len(names))]
-                y, tn = np.array(row["y"]), row["t_neural"]
-                for tm in range(len(stacks[0])):
-                    if abs(tn - tm) > reach:
-                        continue
-                    for k, name in enumerate(names):
-                        b, r2, _ = fit(method, design(stacks, k, tm, reach, borders.get(name, 0)), y, **options)
-                        out.append((name, tn, tm, float(b[0]), r2))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True)], ["model", "t_neural", "t_model", "beta", "r2"])
-
-    each = cells.select("t_neural", "y", "models").mapInArrow(run, "model string, t_neural int, t_model int, beta double, r2 double")
-    return each.groupBy("model", "t_neural", "t_model").agg(F.avg("beta").alias("beta"), F.avg("r2").alias("r2"))
+        rows = rows.unionByName(side(models[name], k))
+    bands = F.sequence(F.greatest(F.floor((F.col("offset") - reach) / wide), F.lit(0)), F.floor((F.col("offset") + reach) / wide))
+    spread = rows.withColumn("band", F.explode(bands))
+    kinds = dict(neural.dtypes)
+
+    def run(t):  # noqa: ANN001, ANN202
+        band, at, off = t.column("band")[0].as_py(), t.column("side").to_numpy(), t.column("offset").to_numpy()
+        z = t.column("z").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        order = np.lexsort((off, at))
+        at, off, z = at[order], off[order], z[order]
+        x, ys = z[at >= 0], z[at < 0]
+        n = z.shape[1]
+        gram, cs = x @ x.T / n, x @ ys.T / n
+        place = {(int(k), int(o)): i for i, (k, o) in enumerate(zip(at[at >= 0], off[at >= 0], strict=True))}
+        out: list[tuple] = []
+        for tm in sorted({o for _, o in place if o // wide == band}):
+            cells = [(j, int(tn)) for j, tn in enumerate(off[at < 0]) if abs(int(tn) - tm) <= reach]
+            for k, name in enumerate(names):
+                if (k, tm) not in place:
+                    continue
+                near = [(m, o) for m, o in place if abs(o - tm) <= reach and (m, o) != (k, tm) and m in beside and (m != k or abs(o - tm) > borders.get(name, 0))]
+                own = [place[k, tm], *[place[c] for c in sorted(near)]]
+                g = gram[np.ix_(own, own)]
+                solve, components = solver(method, g, n, options)
+                for j, tn in cells:
+                    c = cs[own, j]
+                    b = solve(c)
+                    total = float((ys[j] ** 2).mean())
+                    out.append((name, tn, tm, float(b[0]), float(2 * b @ c - b @ g @ b) / total if total else 0.0, components))
+        cols = list(zip(*out, strict=True)) or [()] * 6
+        fixed = {c: pa.array([t.column(c)[0].as_py()] * len(out), t.schema.field(c).type) for c in (*by, "iteration")}
+        kind = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32())
+        return pa.table({**fixed, **{m: pa.array(c, y) for m, c, y in zip(("model", "t_neural", "t_model", "beta", "r2", "components"), cols, kind, strict=True)}})
+
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in by) + "iteration int, model string, t_neural int, t_model int, beta double, r2 double, components int"
+    return spread.groupBy(*by, "iteration", "band").applyInArrow(run, schema)
+
+
+def cross_temporal(neural: DataFrame, models: dict[str, DataFrame], borders: dict[str, int], reach: int, method: str = "elasticnet", by: tuple[str, ...] = (), predictors: tuple[str, ...] | None = None, **options: float) -> DataFrame:
+    """by, model, t_neural, t_model, beta, r2: the means of :func:`fits` over iterations."""
+    each = fits(neural, models, borders, reach, method, by, predictors, **options)
+    return each.groupBy(*by, "model", "t_neural", "t_model").agg(F.avg("beta").alias("beta"), F.avg("r2").alias("r2"))
+
+
+def component_counts(each: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, low, median, high of the numbers of components of fits."""
+    return each.where("components is not null").groupBy(*by).agg(F.min("components").alias("low"), F.percentile("components", F.lit(0.5)).alias("median"), F.max("components").alias("high"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -87,51 +87,60 @@ def masses(t: np.ndarray, threshold: float) -> tuple[np.ndarray, dict[int, float
     return label, {int(k): float(t[label == k].sum()) for k in np.unique(label) if k}
 
 
+def flips_of(seed: int, permutations: int, subjects: list[str]) -> np.ndarray:
+    """permutations x subjects of 1 and -1, the same as :func:`sign_flips`."""
+    u = [[int(hashlib.md5(f"{seed}|{p}|{s}".encode()).hexdigest()[:13], 16) for s in subjects] for p in range(permutations)]
+    return np.where((np.array(u, float).reshape(permutations, len(subjects)) + 0.5) / float(1 << 52) < 0.5, -1.0, 1.0)
+
+
 def cluster_permutation_2d(rows: DataFrame, threshold: float, permutations: int, alpha: float, seed: int) -> DataFrame:
-    """t_neural, t_model, t, cluster, significant of the subjects' matrices (subject, t_neural, t_model, r).
+    """t_neural, t_model, t, cluster, significant of the subjects' matrices (subject, t_neural, t_model, r); a subject without a cell counts as 0 there.
 
-    A permutation is a task of its own; what each needs is the stack of the
-    subjects' matrices, which is as large as the cohort (checked by the caller) and
-    is broadcast as one row.
+    A flip changes no square, so a permutation needs only the flipped sums: a row
+    of the matrices is a task, whose product with all flips gives that row of every
+    permutation's t values. Then a permutation's map is a task of its own. What is
+    shuffled are the matrices once, and a map for each permutation.
     """
-    packed = rows.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("t_neural", "t_model", "r"))).alias("cells"))
-    cube = packed.agg(F.sort_array(F.collect_list(F.struct("subject", "cells"))).alias("cube"))
-    flips = sign_flips(rows.select("subject").distinct(), permutations, seed).groupBy("perm").agg(F.sort_array(F.collect_list(F.struct("subject", "flip"))).alias("flips"))
-
-    def stack(cube: list) -> tuple[np.ndarray, list, list]:
-        tn, tm = (sorted({c[k] for s in cube for c in s["cells"]}) for k in ("t_neural", "t_model"))
-        x = np.zeros((len(cube), len(tn), len(tm)))  # a subject without a cell counts as 0 there
-        for i, s in enumerate(cube):
-            for c in s["cells"]:
-                x[i, tn.index(c["t_neural"]), tm.index(c["t_model"])] = c["r"]
-        return x, tn, tm
-
-    def tvals(x: np.ndarray) -> np.ndarray:
-        se = x.std(0, ddof=1) / np.sqrt(len(x))
-        return np.divide(x.mean(0), se, out=np.zeros_like(se), where=se > 0)
-
-    def null(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                held = held if held is not None else stack(row["cube"])[0]
-                flip = np.array([f["flip"] for f in row["flips"]])
-                out.append(max([abs(m) for m in masses(tvals(held * flip[:, None, None]), threshold)[1].values()], default=0.0))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], ["most"])
-
-    bar = flips.join(F.broadcast(cube), F.lit(True)).select("flips", "cube").mapInArrow(null, "most double").agg(F.percentile("most", F.lit(1 - alpha)).alias("bar"))
-
-    def real(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                x, tn, tm = stack(row["cube"])
-                t = tvals(x)
-                label, mass = masses(t, threshold)
-                cells = [(tn[i], tm[j], float(t[i, j]), int(label[i, j]), label[i, j] > 0 and abs(mass[int(label[i, j])]) > row["bar"]) for i in range(len(tn)) for j in range(len(tm))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*cells, strict=True), (pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.bool_()), strict=True)], ["t_neural", "t_model", "t", "cluster", "significant"])
-
-    return cube.join(F.broadcast(bar), F.lit(True)).mapInArrow(real, "t_neural int, t_model int, t double, cluster int, significant boolean")
+    n = rows.agg(F.count_distinct("subject").alias("n"))
+    tiles = rows.select(F.col("subject").cast("string").alias("subject"), "t_neural", "t_model", F.col("r").cast("double").alias("r")).join(F.broadcast(n), F.lit(True))
+
+    def tile(t):  # noqa: ANN001, ANN202
+        n = t.column("n")[0].as_py()
+        subjects, i = np.unique(t.column("subject").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        cells, j = np.unique(t.column("t_model").to_numpy(), return_inverse=True)
+        x = np.zeros((len(subjects), len(cells)))
+        x[i, j] = t.column("r").to_numpy()
+        sums = np.concatenate([x.sum(0, keepdims=True), flips_of(seed, permutations, subjects.tolist()) @ x])
+        square = (x * x).sum(0)
+        var = (square - sums**2 / n) / max(n - 1, 1)
+        ok = var > 1e-14 * square / n
+        tv = np.where(ok, sums / n / np.sqrt(np.where(ok, var, 1.0) / n), 0.0)
+        k = permutations + 1
+        return pa.table({"perm": pa.array(np.arange(-1, permutations), pa.int32()), "t_neural": pa.array([t.column("t_neural")[0].as_py()] * k, pa.int32()), "cells": pa.array([cells.astype(np.int32).tobytes()] * k), "t": pa.array([v.tobytes() for v in tv])})
+
+    maps = tiles.withColumn("t_neural", F.col("t_neural").cast("int")).groupBy("t_neural").applyInArrow(tile, "perm int, t_neural int, cells binary, t binary")
+
+    def whole(t):  # noqa: ANN001, ANN202
+        perm = t.column("perm")[0].as_py()
+        tn = t.column("t_neural").to_numpy()
+        at = [np.frombuffer(c, np.int32) for c in t.column("cells").to_pylist()]
+        rows_at, tm = np.unique(tn), np.unique(np.concatenate(at))
+        m, there = np.zeros((len(rows_at), len(tm))), np.zeros((len(rows_at), len(tm)), bool)
+        for i, c, v in zip(np.searchsorted(rows_at, tn), at, t.column("t").to_pylist(), strict=True):
+            j = np.searchsorted(tm, c)
+            m[i, j], there[i, j] = np.frombuffer(v), True
+        label, mass = masses(m, threshold)
+        most = max([abs(x) for x in mass.values()], default=0.0)
+        if perm >= 0:
+            return pa.table({"perm": pa.array([perm], pa.int32()), "most": pa.array([most]), "t_neural": pa.nulls(1, pa.int32()), "t_model": pa.nulls(1, pa.int32()), "t": pa.nulls(1, pa.float64()), "cluster": pa.nulls(1, pa.int32()), "mass": pa.nulls(1, pa.float64())})
+        i, j = np.nonzero(np.ones_like(there))
+        own = label[i, j]
+        return pa.table({"perm": pa.array([perm] * len(i), pa.int32()), "most": pa.nulls(len(i), pa.float64()), "t_neural": pa.array(rows_at[i].astype(np.int32)), "t_model": pa.array(tm[j]), "t": pa.array(m[i, j]), "cluster": pa.array(own.astype(np.int32)), "mass": pa.array([mass.get(int(k), 0.0) for k in own])})
+
+    found = maps.groupBy("perm").applyInArrow(whole, "perm int, most double, t_neural int, t_model int, t double, cluster int, mass double")
+    bar = found.where("perm >= 0").agg(F.percentile("most", F.lit(1 - alpha)).alias("bar"))
+    real = found.where("perm < 0").join(F.broadcast(bar), F.lit(True))
+    return real.select("t_neural", "t_model", "t", "cluster", ((F.col("cluster") > 0) & (F.abs("mass") > F.col("bar"))).alias("significant"))
 
 
 def bootstrap(rows: DataFrame, by: tuple[str, ...], unit: str, resamples: int, level: float, seed: int, value: str = "r") -> DataFrame:

@@ -53,7 +53,15 @@ def draw_windows_overlap(spark: SparkSession, d: str) -> DataFrame:
     return D.windows(spark)
 
 
-@query()
+GREEDY = f"""WITH RECURSIVE c AS (SELECT CAST(i AS INTEGER) AS iteration, CAST(s AS INTEGER) AS start, row_number() OVER (PARTITION BY i ORDER BY md5(concat_ws('|', '{D.SEED}', i, s)), s) AS rn FROM range({D.ITERATIONS}) a(i), range({POINTS - LENGTH + 1}) b(s)),
+g AS (SELECT iteration, 1::BIGINT AS rn, [start] AS taken FROM c WHERE rn = 1
+      UNION ALL
+      SELECT c.iteration, c.rn, CASE WHEN len(taken) < 5 AND len(list_filter(taken, lambda x: abs(x - start) < {LENGTH})) = 0 THEN list_append(taken, start) ELSE taken END FROM g JOIN c ON c.iteration = g.iteration AND c.rn = g.rn + 1),
+l AS (SELECT iteration, arg_max(taken, rn) AS taken FROM g GROUP BY 1)
+SELECT iteration, CAST(unnest(range(len(taken))) AS INTEGER) AS win, unnest(taken) AS start FROM l"""
+
+
+@query(GREEDY)
 def draw_windows_greedy(spark: SparkSession, d: str) -> DataFrame:
     starts = spark.range(POINTS - LENGTH + 1).select(F.col("id").cast("int").alias("start"))
     return Win.draw_apart(starts, D.ITERATIONS, 5, LENGTH, D.SEED)

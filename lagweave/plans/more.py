@@ -135,17 +135,16 @@ def expected_embedding(spark: SparkSession, d: str) -> DataFrame:
     return p.join(e, "symbol").groupBy("pos", "dim").agg(r6(F.sum(F.col("p") * F.col("e"))).alias("expected"))
 
 
-@query(spread(TOKENS, "sh AS (SELECT doc, sha256(string_agg(token, ' ' ORDER BY pos)) AS story_hash, count(*) AS n FROM tok GROUP BY 1)") + "SELECT * FROM sh WHERE doc % 2 = 1")
-def story_cache(spark: SparkSession, d: str) -> DataFrame:
-    """Stories that the cache (every second one) doesn't have."""
-    s = D.tokens(spark, d).groupBy("doc").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " "), 256).alias("story_hash"), F.count(F.lit(1)).alias("n"))
-    known = s.where("doc % 2 = 0").select("doc", "story_hash")
-    return s.join(known, ["doc", "story_hash"], "left_anti").select("doc", "story_hash", "n")
+SETTINGS = '{"context": 8, "mass": 0.9, "model": "bigram"}'
 
 
-@query(spread(EV, CURVE) + "SELECT subject, lag, round(r, 6) + 0.0 AS r FROM curve WHERE lag BETWEEN -2 AND 2")
-def subject_curves(spark: SparkSession, d: str) -> DataFrame:
-    return D.group_curve(D.events(spark, d)).where(F.lower(F.lit("Envelope")).isin("envelope") & F.col("lag").between(-2, 2)).select("subject", "lag", r6("r").alias("r"))
+@query(spread(TOKENS, f"sh AS (SELECT doc, sha256(string_agg(token, chr(10) ORDER BY pos) || '{SETTINGS}') AS story_hash, count(*) AS n FROM tok GROUP BY 1)") + "SELECT * FROM sh WHERE doc % 3 <> 0")
+def story_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Stories whose hash of words, model and settings the cache hasn't: it holds a third, and another third of other settings."""
+    words = D.tokens(spark, d)
+    s = Ft.story_hashes(words, SETTINGS)
+    known = s.where("doc % 3 = 0").select("doc", "story_hash").unionByName(Ft.story_hashes(words.where("doc % 3 = 1"), "{}").select("doc", "story_hash"))
+    return s.join(known, ["doc", "story_hash"], "left_anti").select("doc", "story_hash", "n")
 
 
 @query(spread(EV, CURVE) + "SELECT round(quantile_cont(r, 0.25), 6) + 0.0 AS low, round(quantile_cont(r, 0.5), 6) + 0.0 AS median, round(quantile_cont(r, 0.975), 6) + 0.0 AS high FROM curve")
@@ -154,10 +153,14 @@ def quantiles(spark: SparkSession, d: str) -> DataFrame:
     return D.group_curve(D.events(spark, d)).agg(q(0.25).alias("low"), q(0.5).alias("median"), q(0.975).alias("high"))
 
 
-@query("SELECT label, i, j, round(d, 6) AS d FROM (SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)")
+@query("WITH w AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('5|' || vec_id), vec_id) AS k, embedding FROM embeddings) SELECT a.label, a.vec_id AS i, b.vec_id AS j, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS d FROM w a JOIN w b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.k <= 20 AND b.k <= 20")
 def static_rdm(spark: SparkSession, d: str) -> DataFrame:
-    """Distances of the vectors of one label: a label stands for a window set."""
+    """Distances of twenty drawn vectors of each label: the draw bounds the pairs, as it does for windows."""
+    from pyspark.sql import Window
+
     e = table(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    w = Window.partitionBy("label").orderBy(F.md5(F.concat(F.lit("5|"), F.col("vec_id").cast("string"))), "vec_id")
+    e = e.withColumn("k", F.row_number().over(w)).where("k <= 20")
     a, b = e.select("label", F.col("vec_id").alias("i"), F.col("e").alias("ea")), e.select("label", F.col("vec_id").alias("j"), F.col("e").alias("eb"))
     return a.join(b, "label").where("i < j").select("label", "i", "j", r6(R.euclidean(F.col("ea"), F.col("eb"))).alias("d"))
 

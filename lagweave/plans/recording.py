@@ -12,7 +12,6 @@ from ..operators import features as Ft
 from ..operators import rsa as S
 from ..operators import stats as St
 from ..operators import timegrid as T
-from ..sources import sinks
 from ..sources import tables as Src
 from ..sources.tables import table
 from . import domain as D
@@ -214,8 +213,8 @@ def pool_fill(spark: SparkSession, d: str) -> DataFrame:
 # Words and tokens.
 
 
-_DOC_WORDS = r"dw AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS word FROM documents)"
-_CAND = "nw AS (SELECT word, lower(trim(replace(word, '’', ''''))) AS b FROM (SELECT DISTINCT word FROM dw)), cw AS (SELECT word, b, trim(b, '.,!?;:\"()[]{}') AS p FROM nw), ca AS (SELECT word, list_filter([b, p, replace(p, '-', ''), replace(p, '''', '')], lambda x: x <> '') AS c FROM cw)"
+_DOC_WORDS = r"dw AS MATERIALIZED (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS word FROM documents)"
+_CAND = "nw AS MATERIALIZED (SELECT word, lower(trim(replace(word, '’', ''''))) AS b FROM (SELECT DISTINCT word FROM dw)), cw AS (SELECT word, b, trim(b, '.,!?;:\"()[]{}') AS p FROM nw), ca AS MATERIALIZED (SELECT word, list_filter([b, p, replace(p, '-', ''), replace(p, '''', '')], lambda x: x <> '') AS c FROM cw)"
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
@@ -244,14 +243,16 @@ def embedding_norm(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", r6(X.l2(F.col("embedding").cast("array<double>"))).alias("norm"))
 
 
-_VEC = "tv AS (SELECT token, place FROM (SELECT w AS token, row_number() OVER (ORDER BY n DESC, w) - 1 AS place FROM (SELECT lower(trim(word, '.,!?;:\"()[]{}')) AS w, count(*) AS n FROM dw GROUP BY 1) WHERE w <> '') WHERE place < 500)"
+_VEC = "tv AS MATERIALIZED (SELECT token, place FROM (SELECT w AS token, row_number() OVER (ORDER BY n DESC, w) - 1 AS place FROM (SELECT lower(trim(word, '.,!?;:\"()[]{}')) AS w, count(*) AS n FROM dw GROUP BY 1) WHERE w <> '') WHERE place < 500)"
 
 
 @query(spread(_DOC_WORDS, _CAND, _VEC, "cx AS (SELECT word, unnest(c) AS token, unnest(range(len(c))) AS pos FROM ca)", "hit AS (SELECT word, arg_min(token, pos) AS token, arg_min(place, pos) AS place FROM cx JOIN tv USING (token) GROUP BY 1)") + "SELECT n.word, hit.token, coalesce(hit.place, CAST('0x' || substr(md5(concat_ws('|', '9', n.word)), 1, 8) AS BIGINT) % 500) AS place FROM nw n LEFT JOIN hit USING (word)")
 def embedding_lookup(spark: SparkSession, d: str) -> DataFrame:
-    low = _words(spark, d).select(F.lower(F.btrim("word", F.lit(X.PUNCTUATION))).alias("token")).where("token <> ''").groupBy("token").count()
-    vec = low.orderBy(F.desc("count"), "token").limit(500).select("token", (F.row_number().over(Window.orderBy(F.desc("count"), "token")) - 1).cast("long").alias("place"))
-    return Ft.lookup(_words(spark, d).distinct(), vec, 500, 9)
+    words = _words(spark, d).groupBy("word").count()
+    low = words.groupBy(F.lower(F.btrim("word", F.lit(X.PUNCTUATION))).alias("token")).agg(F.sum("count").alias("count")).where("token <> ''")
+    top = low.orderBy(F.desc("count"), "token").limit(500)  # as many as there are vectors
+    vec = top.select("token", (F.row_number().over(Window.orderBy(F.desc("count"), "token")) - 1).cast("long").alias("place"))
+    return Ft.lookup(words.select("word"), vec, 500, 9)
 
 
 @query(spread(EV, WORDS, "s AS (SELECT *, 1 + event_no % 3 AS parts FROM we)", "j AS (SELECT *, unnest(range(parts)) AS j FROM s)") + "SELECT event_no, CAST(j AS BIGINT) AS j, CAST(start + (j * (stop - start)) // parts AS INTEGER) AS a, CAST(greatest(start + ((j + 1) * (stop - start)) // parts, start + (j * (stop - start)) // parts + 1) AS INTEGER) AS b FROM j")
@@ -473,10 +474,12 @@ def rounding_kinds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", r6(X.compress(v)).alias("compressed"), X.half_even(v).alias("nearest"), F.floor(v).alias("below"), F.ceil(v).alias("above"))
 
 
-@query(spread(EV, MASK) + "SELECT sha1(string_agg(CASE WHEN valid THEN '1' ELSE '0' END, '' ORDER BY t)) AS mask_hash FROM mask")
+@query(spread(EV, MASK, "by8 AS (SELECT t // 8 AS b, sum(CASE WHEN valid THEN 1 << (7 - t % 8) ELSE 0 END) AS x FROM mask GROUP BY 1)") + "SELECT sha1(unhex(string_agg(printf('%02X', CAST(x AS BIGINT)), '' ORDER BY b))) AS mask_hash FROM by8")
 def params_hash(spark: SparkSession, d: str) -> DataFrame:
-    bits = F.sort_array(F.collect_list(F.struct("t", F.col("valid").cast("int").cast("string").alias("b"))))
-    return D.mask(D.events(spark, d)).agg(F.sha1(F.array_join(F.transform(bits, lambda x: x["b"]), "")).alias("mask_hash"))
+    """SHA-1 of the mask as packed bits, the first point highest."""
+    byte = D.mask(D.events(spark, d)).groupBy(F.floor(F.col("t") / 8).alias("b")).agg(F.sum(F.when(F.col("valid"), F.expr("shiftleft(1, 7 - t % 8)")).otherwise(0)).alias("x"))
+    packed = byte.agg(F.sort_array(F.collect_list(F.struct("b", F.lpad(F.hex("x"), 2, "0").alias("h")))).alias("s"))  # a byte for eight points of one mask
+    return packed.select(F.sha1(F.unhex(F.array_join(F.transform("s", lambda y: y["h"]), ""))).alias("mask_hash"))
 
 
 @query("SELECT o_custkey % 5 AS subject, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders GROUP BY 1")
@@ -491,37 +494,42 @@ def sensor_set(spark: SparkSession, d: str) -> DataFrame:
     return Src.sensor_set(spark.createDataFrame(list(enumerate(text)), "line_no int, value string")).select("side", "channel")
 
 
-@query("SELECT 4 AS n_levels, sha1('{\"alpha\": 0.05}') AS params_hash")
-def run_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.run_metadata(spark.range(4), {"alpha": 0.05}).select(F.col("n_rows").cast("int").alias("n_levels"), "params_hash")
+# Signal kernels: the subjects' series, a series a task.
 
 
-# Signal kernels: runs of synthetic tones, a run a task.
+def _signals(spark: SparkSession, d: str) -> DataFrame:
+    """subject, x: the series of each subject on the whole grid."""
+    rows = D.events(spark, d).groupBy("subject", "t").agg(F.sum("value").alias("x"))
+    return rows.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("t", "x"))).alias("m")).select("subject", F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0))).alias("x"))
 
 
-def _kernel(spark: SparkSession, f, schema: str) -> DataFrame:  # noqa: ANN001
-    tones = spark.range(3).select(F.col("id").alias("run"))
+def _kernel(spark: SparkSession, d: str, f) -> DataFrame:  # noqa: ANN001
     import pyarrow as pa
 
-    def apply(t):  # noqa: ANN001, ANN202
-        run = t.column("run")[0].as_py()
-        x = np.sin(2 * np.pi * (5 + 20 * run) * np.arange(1000) / 1000)
-        y = f(x)
-        return pa.table({"run": pa.array([run] * len(y), pa.int64()), "t": pa.array(range(len(y)), pa.int32()), "x": pa.array(np.round(y, 6) + 0.0)})
+    def apply(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            for row in batch.to_pylist():
+                y = np.round(f(np.array(row["x"], float)), 6) + 0.0
+                yield pa.RecordBatch.from_arrays([pa.array([row["subject"]] * len(y), pa.int64()), pa.array(range(len(y)), pa.int32()), pa.array(y)], ["subject", "t", "x"])
 
-    return tones.groupBy("run").applyInArrow(apply, schema)
+    return _signals(spark, d).select(F.col("subject").cast("long").alias("subject"), "x").mapInArrow(apply, "subject bigint, t int, x double")
 
 
-@query()
+SERIES = f"sg AS (SELECT g.subject, CAST(g.t AS INTEGER) AS t, coalesce(x, 0) AS x FROM (SELECT subject, t FROM (SELECT DISTINCT subject FROM ev), range({POINTS}) r(t)) g LEFT JOIN (SELECT subject, t, sum(value) AS x FROM ev GROUP BY 1, 2) s ON s.subject = g.subject AND s.t = g.t)"
+_BAND = [round(float(x), 9) for x in N.bandpass_taps(0.02, 0.3, 1, 41)]
+
+
+@query(spread(EV, SERIES, f"h AS (SELECT unnest({_BAND}::DOUBLE[]) AS h, unnest(range({len(_BAND)})) AS j)") + f"SELECT subject, CAST(t + j - {len(_BAND) // 2} AS INTEGER) AS t, round(sum(x * h), 6) + 0.0 AS x FROM sg, h WHERE t + j - {len(_BAND) // 2} BETWEEN 0 AND {POINTS - 1} GROUP BY 1, 2")
 def fir_bandpass(spark: SparkSession, d: str) -> DataFrame:
-    return _kernel(spark, lambda x: N.fir(x, N.bandpass_taps(0.5, 30, 1000, 401)), "run bigint, t int, x double")
+    return _kernel(spark, d, lambda x: N.fir(x, np.array(_BAND)))
 
 
-@query()
+@query(spread(EV, SERIES, "k AS (SELECT CAST(k AS INTEGER) AS k, t, 1 + 2 * (SELECT sum(cos(2 * pi() * m * (k / 40.0::DOUBLE - t / 120.0::DOUBLE))) FROM range(1, 20) r(m)) + 2 * cos(2 * pi() * 20 * t / 120.0::DOUBLE) * cos(pi() * k) AS w FROM range(40) a(k), range(120) b(t))") + "SELECT subject, k AS t, round(sum(x * w) / 120, 6) + 0.0 AS x FROM sg JOIN k USING (t) GROUP BY 1, 2")
 def fft_resample(spark: SparkSession, d: str) -> DataFrame:
-    return _kernel(spark, lambda x: N.fft_resample(x, 100), "run bigint, t int, x double")
+    return _kernel(spark, d, lambda x: N.fft_resample(x, 40))
 
 
 @query()
 def gammatone_envelope(spark: SparkSession, d: str) -> DataFrame:
-    return _kernel(spark, lambda x: N.envelope(x, 1000, [20, 45, 80, 150]), "run bigint, t int, x double")
+    """The grid's points as samples of a thousand hertz."""
+    return _kernel(spark, d, lambda x: N.envelope(x, 1000, [20, 45, 80, 150]))

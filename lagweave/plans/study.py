@@ -10,13 +10,16 @@ from ..functions import scalar as X
 from ..operators import features as Ft
 from ..operators import rdm as R
 from ..operators import registry as Reg
+from ..operators import regress as G
 from ..operators import rsa as S
 from ..operators import runs as Rn
 from ..operators import stats as St
 from ..operators import timegrid as T
 from ..operators import windows as Win
+from ..sources import sinks
 from ..sources import tables as Src
 from ..sources.tables import table
+from . import control as C
 from . import domain as D
 from .core import query, spread
 from .domain import CHANNELS, CURVE, EV, LENGTH, MODEL, NEURAL, POINTS, REACH, WIN, r6, uniform_sql
@@ -435,14 +438,14 @@ def map_merge(spark: SparkSession, d: str) -> DataFrame:
 # Files.
 
 
-@query("SELECT vec_id, len(embedding) AS dim, round(list_sum(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE), 4) AS DOUBLE))), 3) + 0.0 AS total FROM embeddings WHERE label <> 3")
+@query("SELECT vec_id, len(embedding) AS dim, CAST(round(list_sum(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE), 4) AS DOUBLE))) * 10000) AS BIGINT) AS total FROM embeddings WHERE label <> 3")
 def vector_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of a vector file: only tokens of the vocabulary go on."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.round(x, 4).cast("string")).alias("v"))
     lines = e.select(F.col("vec_id").alias("line"), F.concat_ws(" ", F.concat(F.lit("w"), F.col("vec_id").cast("string")), F.array_join("v", " ")).alias("value"))
     vocabulary = e.where("label <> 3").select(F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("token"))
     out = Src.vectors_of(lines, vocabulary)
-    return out.select(F.substring("token", 2, 20).cast("long").alias("vec_id"), F.size("vector").alias("dim"), (F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 3) + 0.0).alias("total"))
+    return out.select(F.substring("token", 2, 20).cast("long").alias("vec_id"), F.size("vector").alias("dim"), F.rint(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x) * 10000).cast("long").alias("total"))
 
 
 @query(spread(EV) + "SELECT user_id % 8 AS subject, CAST(row_number() OVER (PARTITION BY user_id % 8 ORDER BY user_id) - 1 AS INTEGER) AS seg_no, CAST(user_id AS VARCHAR) AS session, CAST(n AS INTEGER) AS n_times FROM (SELECT user_id, count(*) AS n FROM ev GROUP BY 1)")
@@ -465,3 +468,32 @@ def events_lines(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", "kind", "onset", "k")
 
 
+
+
+# Control.
+
+
+@query()
+def pcr_components(spark: SparkSession, d: str) -> DataFrame:
+    """How many components the fits took: two models, offsets within reach."""
+    ev, windows = D.events(spark, d), D.windows(spark)
+    blocks = [R.rdm_blocks(windows, x, LENGTH, "euclidean") for x in (D.neural(ev), D.model(ev), D.counts(ev))]
+    return G.component_counts(G.fits(blocks[0], {"envelope": blocks[1], "counts": blocks[2]}, {"envelope": 1, "counts": 1}, 2, "pcr"), ("model",))
+
+
+@query(spread(SIDES) + "SELECT side, channel FROM (SELECT DISTINCT side, channel FROM si)")
+def sensor_file(spark: SparkSession, d: str) -> DataFrame:
+    """A selection written as a sectioned list and read again."""
+    return Src.sensor_set(C.sensor_lines(_sides(spark, d).groupBy("side", "channel").agg(F.min("line_no").alias("line_no")))).select("side", "channel")
+
+
+@query("SELECT 'correlation, GloVe; 3 x 10 windows of 12 s at 1 Hz, lags to 6 s' AS caption, 12 AS length, 6 AS reach, count(*) AS n FROM events")
+def caption(spark: SparkSession, d: str) -> DataFrame:
+    s = C.Settings(subsamples=D.WINDOWS, iterations=D.ITERATIONS, window_seconds=12.0, averaging_seconds=6.0, rate=1.0, models="GloVe").checked()
+    return table(spark, d, "events").agg(F.count(F.lit(1)).alias("n")).select(F.lit(s.caption()).alias("caption"), F.lit(s.length).alias("length"), F.lit(s.reach).alias("reach"), "n")
+
+
+@query("SELECT event_type AS kind, count(*) AS n_rows, 'event_id,ts,user_id,event_type,value,props' AS columns, sha1('{\"alpha\": 0.05}') AS params_hash FROM events GROUP BY 1")
+def run_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """A record of settings beside each product."""
+    return sinks.run_metadata(table(spark, d, "events"), {"alpha": 0.05}, ("event_type",)).select(F.col("event_type").alias("kind"), "n_rows", "columns", "params_hash")

@@ -19,7 +19,7 @@ def save(df: DataFrame, path: str, existing: str = "skip", partition_by: tuple[s
     writer.option("header", True).format(kind).save(path)
 
 
-def run_metadata(df: DataFrame, settings: dict) -> DataFrame:
-    """One row: rows, columns, and the settings as JSON with their hash."""
+def run_metadata(df: DataFrame, settings: dict, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (of each product, where by names them): rows, columns, and the settings as JSON with their hash."""
     text = json.dumps(settings, sort_keys=True)
-    return df.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.lit(",".join(df.columns)).alias("columns"), F.lit(text).alias("settings"), F.sha1(F.lit(text)).alias("params_hash"))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows")).select(*by, "n_rows", F.lit(",".join(df.columns)).alias("columns"), F.lit(text).alias("settings"), F.sha1(F.lit(text)).alias("params_hash"))

@@ -7,8 +7,10 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lagweave import catalog
+from lagweave.functions import numerics as N
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -214,3 +216,157 @@ def test_entry_points(spark, sf_dir):
 
     assert set(E.oracle_sql()) <= set(E.queries())
     assert E.entry(spark).count() == 13
+
+
+def test_regressions_are_those_of_whole_designs(spark):
+    """Bands, shared Gram matrices and borders give what fitting each design by itself gives."""
+    from lagweave.operators import regress as G
+
+    rng = np.random.default_rng(8)
+    length, pairs = 9, 40
+    z = {k: G.standard(rng.normal(size=(2 * length, pairs)).T).T.reshape(2, length, pairs) for k in ("y", "a", "b")}
+    z["y"] = z["y"] * 0.3 + z["a"] * 0.9
+    frame = lambda k: spark.createDataFrame([(i, o, [float(v) for v in z[k][i, o]]) for i in range(2) for o in range(length)], "iteration int, offset int, z array<double>")
+    for method, options in (("ridge", {"alpha": 3.0}), ("elasticnet", {"alpha": 0.1}), ("lasso", {"alpha": 0.05}), ("pcr", {"explained": 0.7})):
+        for predictors in (None, ("a",)):
+            got = {(r["model"], r["t_neural"], r["t_model"]): (r["beta"], r["r2"]) for r in G.cross_temporal(frame("y"), {"a": frame("a"), "b": frame("b")}, {"a": 1, "b": 0}, 2, method, predictors=predictors, **options).collect()}
+            assert len(got) == 2 * sum(abs(s - t) <= 2 for s in range(length) for t in range(length))
+            for (name, tn, tm), (beta, r2) in got.items():
+                want = []
+                for i in range(2):
+                    stacks, k = [z["a"][i], z["b"][i]], "ab".index(name)
+                    at = [c for c in G.columns([length, length], k, tm, 2, {"a": 1, "b": 0}[name]) if c == (k, tm) or predictors is None or c[0] == 0]
+                    y = (z["y"][i, tn] - z["y"][i, tn].mean()) / z["y"][i, tn].std()
+                    b, r, _ = G.fit(method, np.stack([stacks[m][t] for m, t in at]).T, y, **options)
+                    want.append((b[0], r))
+                sd = [z["y"][i, tn].std() for i in range(2)]
+                if method in ("pcr", "ridge"):  # linear in y, whose scale stays here
+                    assert np.isclose(beta, np.mean([w[0] * s for w, s in zip(want, sd, strict=True)]), atol=0.03)
+                    assert np.isclose(r2, np.mean([w[1] for w in want]), atol=0.03)
+    with pytest.raises(ValueError, match="needs a model"):
+        G.fits(frame("y"), {}, {}, 2)
+
+
+def test_permutation_of_maps_against_brute_force(spark):
+    from lagweave.operators import stats as St
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(7, 6, 5))
+    x[:, 1:3, 1:4] += 1.5
+    rows = [(f"s{s}", i, j, float(x[s, i, j])) for s in range(7) for i in range(6) for j in range(5) if (s, i, j) != (2, 4, 4)]
+    x[2, 4, 4] = 0
+    got = St.cluster_permutation_2d(spark.createDataFrame(rows, "subject string, t_neural int, t_model int, r double"), 2.0, 40, 0.1, 5).collect()
+    tmap = lambda v: v.mean(0) / (v.std(0, ddof=1) / np.sqrt(7))
+    flips = {(r["perm"], r["subject"]): r["flip"] for r in St.sign_flips(spark.createDataFrame([(f"s{s}",) for s in range(7)], "subject string"), 40, 5).collect()}
+    most = [max([abs(m) for m in St.masses(tmap(x * np.array([flips[p, f"s{s}"] for s in range(7)])[:, None, None]), 2.0)[1].values()], default=0.0) for p in range(40)]
+    label, mass = St.masses(tmap(x), 2.0)
+    bar = np.quantile(most, 0.9)
+    assert len(got) == 30 and any(r["significant"] for r in got)
+    for r in got:
+        i, j = r["t_neural"], r["t_model"]
+        assert np.isclose(r["t"], tmap(x)[i, j]) and r["cluster"] == label[i, j]
+        assert r["significant"] == bool(label[i, j] and abs(mass[label[i, j]]) > bar)
+
+
+def test_decoding_of_two_and_more_values(spark):
+    from lagweave.operators.stats import lda_decode
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(120):
+        y = float(i % 5 != 0)  # most are 1: the median is no split of two values
+        rows.append((i, y, 0, [float(rng.normal() + 3 * y), float(rng.normal())]))
+        rows.append((i, float(i % 3), 1, [float(rng.normal() + 3 * (i % 3 > 1)), float(rng.normal())]))
+    got = {r["time"]: r["score"] for r in lda_decode(spark.createDataFrame(rows, "row long, y double, time int, features array<double>"), "time").collect()}
+    assert got[0] > 0.7 and got[1] > 0.7
+
+
+def test_envelope_is_that_of_both_half_waves():
+    x = np.sin(2 * np.pi * 40 * np.arange(2000) / 1000)
+    band = N.gammatone(x, 40.0, 1000)
+    assert np.allclose(N.envelope(x, 1000, [40.0], 1.0), np.abs(band)) and np.allclose(N.envelope(-x, 1000, [40.0]), N.envelope(x, 1000, [40.0]))
+
+
+def test_too_few_windows_and_other_channels_are_errors(spark):
+    from lagweave.operators import registry, runs
+    from lagweave.operators import windows as W
+
+    starts = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "subject string, start int")
+    assert W.draw_windows(starts, 2, 1, 3, ("subject",)).count() == 4
+    with pytest.raises(Exception, match="fewer than 2 windows"):
+        W.draw_windows(starts, 2, 2, 3, ("subject",)).collect()
+    chans = spark.createDataFrame([("a", 1, ["x", "y"]), ("a", 2, ["x"])], "subject string, task int, channels array<string>")
+    assert [r["agrees"] for r in runs.same_channels(chans, ("subject",), ("task",)).orderBy("task").collect()] == [True, False]
+    with pytest.raises(Exception, match="channels of runs differ"):
+        runs.same_channels(chans, ("subject",), ("task",), require=True).collect()
+    made = spark.createDataFrame([("a", 1, 5)], "subject string, task int, x int")
+    with pytest.raises(Exception, match="a segment has no product"):
+        runs.product_join(chans, made, ("subject",), ("task",), "fail").collect()
+    with pytest.raises(ValueError, match="2 points instead of 3"):
+        registry.check_lengths(spark.createDataFrame([("m", 0), ("m", 1)], "signal string, t int"), 3)
+    results = spark.createDataFrame([("a", None, "A", "base", "", 1.0), ("a", None, "A", "model", "x", 1.0), ("a", None, "A", "model", "y", 1.0)], "subject string, neural string, model string, origin string, label string, r double")
+    assert [r["neural"] for r in runs.subject_results(results, ["a"]).collect()] == ["Neural 1"]
+    with pytest.raises(Exception, match="a model is missing"):
+        runs.subject_results(results, ["a", "b"]).collect()
+    with pytest.raises(Exception, match="several simulations"):
+        runs.subject_results(results, ["a"], "model").collect()
+    assert runs.subject_results(results, ["a"], "model", "y").count() == 1
+
+
+def test_resampled_clips(spark):
+    from lagweave.operators import timegrid as T
+
+    clips = spark.createDataFrame([(1, 20, [float(np.sin(2 * np.pi * k / 20)) for k in range(40)])], "clip int, rate int, samples array<double>")
+    seg = spark.createDataFrame([(0, 1, 0.0, 0.0, 2.0), (1, 1, 1.0, 0.5, 1.0), (2, 1, 2.9, 0.0, 2.0), (3, 1, 0.0, 1.5, 1.0)], "seg_no long, clip int, onset double, audio_onset double, audio_offset double")
+    got = {r["t"]: r["x"] for r in T.place_clips(seg, clips, 10, 30).collect()}
+    half = N.fft_resample(np.sin(2 * np.pi * np.arange(40) / 20), 20)
+    assert set(got) == set(range(20)) | {29}
+    assert all(np.isclose(got[t], half[t]) for t in [*range(10), *range(15, 20)]) and np.isclose(got[29], half[0])
+
+
+def test_control(spark, tmp_path):
+    from lagweave.plans import control as C
+
+    s = C.Settings(window_seconds=2.0, averaging_seconds=3.0, rate=10.0).checked()
+    assert (s.length, s.reach) == (20, 19) and "lags to 1.9 s" in s.caption()
+    for bad in ({"l1_ratio": 1.5}, {"subsamples": 1}, {"iterations": 0}, {"window_seconds": 0}, {"averaging_seconds": -1}, {"progress_every": 0}, {"method": "x"}, {"shuffle_windows": True}):
+        with pytest.raises(ValueError):
+            C.replace(s, **bad).checked()
+    assert C.base_dir(None, {"LAGWEAVE_DATA": "/x/"}) == "/x" and C.base_dir("/y", {}) == "/y"
+    assert C.rebased("/a/b/c", "/a/b", "/z") == "/z/c" and C.rebased("/a/bc", "/a/b", "/z") == "/a/bc"
+    pointer = tmp_path / "where.txt"
+    pointer.write_text("/v/vec.txt\n")
+    assert C.vectors_path(None, {}, str(pointer)) == "/v/vec.txt" and C.vectors_path(None, {"LAGWEAVE_VECTORS": "/w"}) == "/w" and C.vectors_path("/g", {}) == "/g"
+    with pytest.raises(FileNotFoundError):
+        C.vectors_path(None, {})
+    done = []
+    fails = lambda: 1 / 0
+    steps = [("a", lambda: done.append("a")), ("b", fails), ("c", lambda: done.append("c"))]
+    assert C.run_steps(steps, go_on=True) == {"a": "done", "b": "failed: division by zero", "c": "done"}
+    assert C.run_steps(steps, first="c") == {"a": "skipped", "b": "skipped", "c": "done"} and done == ["a", "c", "c"]
+    with pytest.raises(ZeroDivisionError):
+        C.run_steps(steps)
+    base = str(tmp_path / "out")
+    make = lambda k: spark.range(3).withColumn("s", F.lit(k))
+    spark.range(1).write.parquet(f"{base}/native/a")
+    assert C.each_subject(spark, ["a", "b"], base, make, lambda k: [f"{base}/native/{k}"]) == ["a", "b"] and not C.exists(spark, f"{base}/native/a")
+    assert C.each_subject(spark, ["a", "b", "c"], base, make) == ["c"] and spark.read.parquet(base).count() == 9
+    with pytest.raises(ValueError):
+        C.prune(spark, ["/etc"], base)
+    made = []
+    for _ in range(2):
+        assert C.cached(spark, f"{base}/win", s, lambda: made.append(1) or spark.range(4)).count() == 4
+    assert made == [1]
+    C.save_group({"curves": spark.range(5)}, f"{base}/group", s)
+    tables, then = C.load_group(spark, f"{base}/group", ["curves"], s)
+    assert tables["curves"].count() == 5 and then == s
+    with pytest.raises(ValueError, match="iterations"):
+        C.load_group(spark, f"{base}/group", ["curves"], C.replace(s, iterations=7))
+    assert C.folders("/b/", "x")["group"] == "/b/x/group"
+
+
+def test_registry():
+    from lagweave.operators import registry as Reg
+
+    assert [m.label for m in Reg.selected(Reg.MODELS, "glove, ENVELOPE")] == ["Envelope", "GloVe"] and len(Reg.selected(Reg.MODELS)) == 7
+    assert Reg.borders((Reg.Model("a", "euclidean"), Reg.Model("b", "cosine", 0.3)), 0.1) == {"a": 0.1, "b": 0.3}
