@@ -335,11 +335,11 @@ def test_passages_of_edited_copies_of_one_text(spark, monkeypatch):
         rows.append((i, " ".join(base[:j] + [f"x{i}_{k}" for k in range(15)] + base[j + 15 :])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["doc_id"], r["match_id"]) for r in passages(df).collect()}
-    assert {(max(i, 50), min(i, 50)) for i, _ in rows[1:]} <= got
-    # Where seeds are too frequent for all pairs, neighbours in context order tie all of them.
-    monkeypatch.setattr(chaining, "ALL", 8)
-    few = {(r["doc_id"], r["match_id"]) for r in passages(df).collect()}
-    assert few <= got and len(few) < 0.6 * len(got) and one_class(few) == {i for i, _ in rows}
+    # The copies' seeds are too frequent for all pairs, which aren't listed; no copy loses the class.
+    assert one_class(got) == {i for i, _ in rows} and len(got) < 81 * 40
+    monkeypatch.setattr(chaining, "ALL", 100)
+    every = {(r["doc_id"], r["match_id"]) for r in passages(df).collect()}
+    assert {(max(i, 50), min(i, 50)) for i, _ in rows[1:]} <= every
 
 
 def test_passages_repeated_inside_a_text(spark):
