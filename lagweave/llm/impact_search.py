@@ -13,10 +13,11 @@ can't be lost, since a vector is kept while its upper bound reaches the k-th sco
 Blocks of queries meet blocks of candidates in a grid of tasks of bounded size;
 each gives k rows a query at most, which are ranked at the end.
 
+Sums are of doubles, and of 64-bit integers where doubles might round them.
 Components x count as floor(256 * x). Vectors that are null or empty or hold a
 null or non-finite component take no part; shorter vectors count as filled up
 with zeros. An id that is there twice is one query (of its largest vector), and
-no row with the query's id is a candidate. An empty table gives no rows.
+no row with the query's id is a candidate. Rows with a null id take no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 
 #: Steps of a dimension; vectors of a block of candidates, and of a block of queries where there are many.
 LEVELS, CANDIDATES, QUERIES = 16, 16_384, 16_384
+#: Of the last number's parts of the segments, those after which a stop is tried.
+STOPS = (1, 2, 4, 6, 8, 9, 10, 11, 12, 13, 14, 15, 16)
 
 
 class Block:
@@ -38,6 +41,7 @@ class Block:
 
     def __init__(self, x: np.ndarray):
         self.x = x
+        self.largest = float(np.abs(x).max(initial=0))
         n, dims = x.shape
         low, high = x.min(0), x.max(0)
         step = np.maximum(-((low - high - 1) // LEVELS), 1)
@@ -74,21 +78,28 @@ class Block:
         left = np.maximum(ranked[:, 0], 0).sum() - np.cumsum(drop.ravel()[order])
         acc = np.full(len(self.x), base.sum(), np.float64)
         acc[~ok] = -np.inf
-        exact = lambda at: self.x[at] @ q
-        check = max(1, len(order) // 8)
+        wide = float(np.abs(q).sum()) * self.largest >= 2**52  # doubles might round a score
+
+        def exact(at: np.ndarray) -> np.ndarray:
+            return self.x[at].astype(np.int64) @ q.astype(np.int64) if wide else self.x[at] @ q
+
         at = 0
-        for end in range(6 * check, len(order) + check, check):
-            end = min(end, len(order))
+        self.segments, self.done = len(order), 0
+        for share in STOPS:
+            end = -(-len(order) * share // STOPS[-1])
             for s in order[at:end]:
                 acc[self.members[s]] += flat[s]
-            at = end
+            at = self.done = end
             rest = (left[end - 1] if end else 0) + slack
+            if wide:
+                rest += 1e-9 * (np.abs(acc[ok]).max(initial=0) + abs(rest))
             best = np.argpartition(acc, -min(8 * k, len(acc)))[-min(8 * k, len(acc)) :]
             best = best[ok[best]]
             if len(best) >= k:
                 bar = np.partition(exact(best), -k)[-k]
                 alive = np.flatnonzero(acc + rest >= bar)
-                if len(alive) <= 64 * k or end == len(order):
+                # What can still be among the k best is scored exactly, if that is less work than to go on.
+                if len(alive) <= max(64 * k, len(acc) // 16) or end == len(order):
                     return alive, exact(alive)
             if end == len(order):
                 break

@@ -165,7 +165,7 @@ def train(rows: DataFrame, text_col: str, label_col: str, id_col: str, sample_ro
     ok = rows.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("k"), F.col(label_col).alias("y"), F.encode(text_col, "UTF-8").alias("t"))
     ok = ok.where(F.length("t") > 0)
     cuts = [F.substring("t", (F.pmod(F.xxhash64(F.lit(seed + j), "k"), F.greatest(F.length("t") - WINDOW, F.lit(0)) + 1) + 1).cast("int"), F.lit(WINDOW)).alias(f"w{j}") for j in range(windows_per_row)]
-    got = sorted(bounded_sample(ok.select("k", "y", *cuts), "k", sample_rows, seed).collect())
+    got = sorted(bounded_sample(ok.select(F.coalesce("k", F.lit("")).alias("k"), "y", *cuts), "k", sample_rows, seed).collect())
     if not got:
         return None
     labels = sorted({r["y"] for r in got})

@@ -125,5 +125,29 @@ r3 AS (SELECT *, upto <= lack AS inside, lack - coalesce(max(upto) FILTER (WHERE
 r4 AS (SELECT source, arg_min(doc_id, row(abs(size - gap), q, doc_id)) AS fill FROM r3 WHERE NOT inside AND abs(size - gap) < gap GROUP BY 1),
 r5 AS (SELECT r3.doc_id, inside OR coalesce(r3.doc_id = fill, false) AS again FROM r3 LEFT JOIN r4 ON r3.source IS NOT DISTINCT FROM r4.source)
 SELECT r1.doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN again THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r1 LEFT JOIN r5 USING (doc_id)
+""",
+    "op6_ngram_jaccard": r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz     '), '[^ ]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, md5(CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END) AS h
+                   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END))) AS i FROM w)),
+n AS MATERIALIZED (SELECT doc_id, count(h) AS n FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN g USING (doc_id) GROUP BY 1),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * x >= 90 * (u.n + v.n - x)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b)
+SELECT doc_id, n AS n_shingles, c AS component_id FROM (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) JOIN n USING (doc_id)
+""",
+    "op9_suffix_dedup": r"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+s AS MATERIALIZED (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 200)) AS h FROM (SELECT doc_id, x, unnest(range(n - 99)) AS p FROM d WHERE n >= 100)),
+f AS MATERIALIZED (SELECT h, min((doc_id, p)) AS first FROM s GROUP BY 1 HAVING count(*) > 1),
+q AS MATERIALIZED (SELECT doc_id, p FROM s JOIN f USING (h) WHERE (doc_id, p) <> first),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM q)),
+c AS MATERIALIZED (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY 1, 2),
+k AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS "from", a AS "to" FROM c UNION ALL SELECT doc_id, max(b), NULL FROM c GROUP BY 1),
+t AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM c GROUP BY 1),
+y AS (SELECT doc_id, string_agg(substr(x, CAST(2 * "from" + 1 AS BIGINT), CAST(2 * (coalesce("to", n) - "from") AS BIGINT)), '' ORDER BY "from") AS kept FROM k JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN y USING (doc_id)
 """,
 }
