@@ -8,6 +8,8 @@ Hashes are polynomial over the ring of integers modulo 2**64, with a random
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -23,6 +25,8 @@ def _table(seed: int) -> np.ndarray:
 
 _BYTE = _table(20240101)
 _pow: dict[str, np.ndarray] = {}
+#: Bytes from which a word's hash is a cryptographic one.
+LONG = 256
 
 
 def powers(kind: str, n: int) -> np.ndarray:
@@ -73,6 +77,20 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(np.uint64))
 
 
+def word_hash(data: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """:func:`span_hash` of words. Long ones get a cryptographic hash: of the polynomial's modulus, a power of two, strings from some thousand bytes on are known that collide."""
+    h = span_hash(sums, start, end)
+    long = np.flatnonzero(end - start > LONG)
+    if len(long):
+        h[long] = whole_hash([data[a:b].tobytes() for a, b in zip(start[long], end[long], strict=True)]).view(np.uint64)
+    return h
+
+
+def whole_hash(texts: list[bytes]) -> np.ndarray:
+    """64 bits of BLAKE2 of each text."""
+    return np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=8).digest() for t in texts), np.int64).copy()
+
+
 #: The bytes that part words, space and 0x09 to 0x0D.
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

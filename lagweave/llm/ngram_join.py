@@ -59,7 +59,7 @@ def sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = B.flat(column)
     data = B.lower(data)
     start, end, row = B.spans(data, offsets)
-    words = B.span_hash(B.prefix_hash(data), start, end)
+    words = B.word_hash(data, B.prefix_hash(data), start, end)
     h, r = B.distinct(*B.shingles(words, row, len(offsets) - 1, k))
     return h, r, np.bincount(r, minlength=len(offsets) - 1)
 

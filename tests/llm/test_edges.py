@@ -266,3 +266,14 @@ def test_pipeline_of_nothing(spark, awkward, tmp_path):
     awkward.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_long_words_that_fool_polynomials():
+    """Thue-Morse strings of two letters agree in every polynomial modulo a power of two."""
+    from lagweave.llm import bytescan as B
+
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    two = one.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((one + " " + two).encode(), np.uint8)
+    sums, start, end = B.prefix_hash(data), np.array([0, 4097]), np.array([4096, 8193])
+    assert len(set(B.span_hash(sums, start, end).tolist())) == 1 and len(set(B.word_hash(data, sums, start, end).tolist())) == 2
