@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 #: Steps of a dimension; vectors of a block of candidates, and of a block of queries where there are many.
 LEVELS, CANDIDATES, QUERIES = 16, 16_384, 16_384
 #: Of the last number's parts of the segments, those after which a stop is tried.
-STOPS = (1, 2, 4, 6, 8, 9, 10, 11, 12, 13, 14, 15, 16)
+STOPS = (4, 8, 11, 13, 15, 16)
 
 
 class Block:
