@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from .shared import pieces, small_batches
 
 SPACE = "▁"
-#: Pairs, and bytes of cuts with their ids and surfaces, that a worker keeps; beyond, it begins anew.
-CACHE, CACHE_BYTES = 400_000, 96 << 20
+#: Pairs, and bytes of cuts with their ids and surfaces, that a worker keeps. Beyond, pairs begin anew, and of the cuts those go that were not looked up in the last half.
+CACHE, CACHE_BYTES = 500_000, 256 << 20
 
 
 class PrefixTable:
@@ -64,6 +64,8 @@ class PrefixTable:
         self.pair: dict[tuple[str, str], bool] = {}
         self.text_ids: dict[str, str] = {}
         self.text_back: dict[str, str] = {}
+        self.old_ids: dict[str, str] = {}
+        self.old_back: dict[str, str] = {}
         self.text_bytes = 0
 
     def _cut_pattern(self) -> str:
@@ -202,11 +204,17 @@ class PrefixTable:
         if not self.cuts:
             got = self.encode(text)
             return ",".join(map(str, got)), self.decode(got)
-        if self.text_bytes >= CACHE_BYTES:
+        if self.text_bytes >= CACHE_BYTES // 2:  # what was looked up since the last time stays for one more
+            self.old_ids, self.old_back = dict(ids), dict(back)
             ids.clear()
             back.clear()
             self.text_bytes = 0
+        old = self.old_ids
         for c in {c for c in cuts if c not in ids}:
+            if c in old:
+                ids[c], back[c] = old[c], self.old_back[c]
+                self.text_bytes += 4 * len(c) + len(ids[c]) + 300
+                continue
             got = self.ids(c)
             ids[c] = ",".join(map(str, got))
             self.text_bytes += 4 * len(c) + len(ids[c]) + 300  # strings of four bytes a character at most, and what dictionaries need
