@@ -24,11 +24,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import pieces, small_batches
+from .shared import pieces, small_batches, tidy
 
 SPACE = "▁"
 #: Pairs, and bytes of cuts with their ids and surfaces, that a worker keeps. Beyond, pairs begin anew, and of the cuts those go that were not looked up in the last half.
-CACHE, CACHE_BYTES = 500_000, 256 << 20
+CACHE, CACHE_BYTES = 400_000, 160 << 20
 
 
 class PrefixTable:
@@ -197,6 +197,12 @@ class PrefixTable:
         flush()
         return "".join(out)
 
+    def forget(self) -> None:
+        """Empties the cache of cuts: workers live on after their task, beside those of other steps."""
+        for held in (self.text_ids, self.text_back, self.old_ids, self.old_back):
+            held.clear()
+        self.text_bytes = 0
+
     def both(self, text: str) -> tuple[str, str]:
         """Decimal ids joined by commas, and the text that they decode to."""
         ids, back = self.text_ids, self.text_back
@@ -272,5 +278,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 rows.append((*row, [int(x) for x in joined.split(",")] if joined else [], back) if with_ids else row)
             kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]], [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if with_ids else 4])
+        table.forget()
+        tidy()
 
     return small_batches(docs.select(id_col, text_col)).mapInArrow(run, schema)

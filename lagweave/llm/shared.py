@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -77,6 +79,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy() -> None:
+    """Gives what this worker has freed back to the machine; workers that wait for tasks stand beside those at work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: int, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of batches in slices of PIECE_ROWS rows at most whose column number `text` holds about `limit` bytes; one long text is one slice."""
     for batch in batches:
@@ -90,3 +102,4 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int, limit: int = PIECE_BYTE
             to = min(at + PIECE_ROWS, max(at + 1, int(ends.searchsorted(base + limit, side="right"))))
             yield batch.slice(at, to - at)
             at = to
+    tidy()
