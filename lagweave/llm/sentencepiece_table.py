@@ -28,7 +28,7 @@ from .shared import pieces, small_batches, tidy
 
 SPACE = "▁"
 #: Pairs, and bytes of cuts with their ids and surfaces, that a worker keeps. Beyond, pairs begin anew, and of the cuts those go that were not looked up in the last half.
-CACHE, CACHE_BYTES = 400_000, 160 << 20
+CACHE, CACHE_BYTES = 400_000, 208 << 20
 
 
 class PrefixTable:
