@@ -148,16 +148,28 @@ def signatures(docs: DataFrame, k: int, ranges: int) -> DataFrame:
 
 
 def frequent(packed: DataFrame) -> np.ndarray:
-    """The most frequent low hashes, of those in more than MANY rows: KNOWN at most."""
+    """The most frequent low hashes, of those in more than MANY rows: KNOWN at most, where those of the last count go together. Counts stay in the shared folder; the driver gets hashes as bytes, 8 each, and no rows."""
 
     def count(t):  # noqa: ANN001, ANN202
         u, c = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("packed").to_pylist()]), return_counts=True)
         u, c = u[c > MANY], c[c > MANY]
         return pa.table({"h": u.view(np.int64), "c": c.astype(np.int64)})
 
-    top = packed.groupBy("r").applyInArrow(count, "h bigint, c bigint").orderBy(F.desc("c"), "h").limit(KNOWN)
-    got = top.select("h").toPandas()["h"].to_numpy(np.int64) if not top.isEmpty() else np.zeros(0, np.int64)
-    return np.sort(got.view(np.uint64))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            if part.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary())], ["packed"])
+
+    counted = kept(packed.groupBy("r").applyInArrow(count, "h bigint, c bigint"), "ngram-counts")
+    by_count = counted.groupBy("c").agg(F.count(F.lit(1)).alias("m")).toArrow()  # as many as there are different counts
+    c, m = (by_count.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(-c)
+    fits = np.cumsum(m[order]) <= KNOWN
+    least = int(c[order][fits][-1]) if fits.any() else np.iinfo(np.int64).max
+    got = counted.where(F.col("c") >= least).select("h").mapInArrow(pack, "packed binary").toArrow().column(0)
+    known = np.sort(np.frombuffer(b"".join(x.as_buffer() for x in got), np.uint64))
+    dropped(counted)
+    return known
 
 
 def columns(docs: DataFrame, k: int, num: int, den: int, known: np.ndarray) -> DataFrame:

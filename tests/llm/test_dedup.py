@@ -122,6 +122,28 @@ def test_ngram_join_large_group(spark, monkeypatch):
     assert got == want
 
 
+def test_frequent_ngrams_reach_the_driver_as_bytes(spark, monkeypatch):
+    """The driver's Python has a few bytes for a frequent n-gram, not a row; those of the last count that fits go together."""
+    import tracemalloc
+
+    from lagweave.llm import ngram_join
+
+    many = ngram_join.MANY
+    h = np.arange(1, 40_001, dtype=np.uint64) << np.uint64(40)
+    times = many + (np.arange(len(h)) % 5)  # the first of five isn't frequent
+    parts = [(r, np.repeat(h[r::8], times[r::8]).tobytes()) for r in range(8)]
+    packed = spark.createDataFrame([(r, bytearray(x)) for r, x in parts], "r bigint, packed binary")
+    tracemalloc.start()
+    got = ngram_join.frequent(packed)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == h[times > many].tolist()
+    assert peak < 60 * len(got), peak
+    monkeypatch.setattr(ngram_join, "KNOWN", 20_000)
+    assert ngram_join.frequent(packed).tolist() == h[times > many + 2].tolist()
+    assert not len(ngram_join.frequent(packed.limit(0)))
+
+
 def test_ngram_stage(awkward, awkward_rows, no_rows):
     want = sorted(i for i, (_, c) in ngram_brute(awkward_rows, 5, 8, 10).items() if i == c)
     kept = one_of_each(awkward)
