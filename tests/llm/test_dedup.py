@@ -281,6 +281,16 @@ def test_passages_of_more_copies_than_are_paired(spark):
     assert one_class(got) == set(range(300)) and len(got) < 300 * 60
 
 
+def test_each_text_of_a_common_passage_is_tied_to_an_earlier_one(spark):
+    """A passage in more texts than are paired: each but the first is a doc_id, whatever the order of the texts' hashes."""
+    rng = random.Random(17)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join([f"u{i}_{k}" for k in range(rng.randint(5, 40))] + base + [f"v{i}_{k}" for k in range(rng.randint(5, 40))])) for i in range(120)]
+    rows += [(i + 1000, t) for i, t in rows[:5]] + [(i - 1000, t) for i, t in rows[5:10]]  # copies under larger and smaller ids
+    got = [(r["doc_id"], r["match_id"]) for r in passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert {a for a, _ in got} == {i for i, _ in rows} - {-995} and all(a > b for a, b in got)
+
+
 def chain_score(path, x, y, n):
     """Words that a chain covers less the cost of its gaps; None where pieces can't follow each other."""
     from lagweave.llm.chaining import GAP_COST, K, MAX_GAP
