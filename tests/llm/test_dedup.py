@@ -291,6 +291,40 @@ def test_each_text_of_a_common_passage_is_tied_to_an_earlier_one(spark):
     assert {a for a, _ in got} == {i for i, _ in rows} - {-995} and all(a > b for a, b in got)
 
 
+def test_passages_about_a_frequent_line_are_found_whatever_their_neighbours(spark):
+    """A line in more texts than are paired; of these texts, some pairs agree on the words around it, with edits between which no seed fits, and one agrees with itself."""
+    rng = random.Random(31)
+    line, fresh = [f"l{i}" for i in range(30)], iter(range(10**6))
+    own = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    edited = lambda p: [w if i % 5 != 2 else f"e{next(fresh)}" for i, w in enumerate(p)]
+    rows = [(i, own(rng.randint(0, 40)) + line + own(rng.randint(0, 40))) for i in range(20, 80)]
+    for k in range(12):
+        left, right = own(15), own(15)
+        rows += [(i, own(rng.randint(1, 40)) + edited(left) + line + edited(right) + own(rng.randint(1, 40))) for i in (k, 100 + (k * 5 + 2) % 12)]
+    left, right = own(15), own(15)
+    twice = [left + line + right, own(30) + line + own(30), edited(left) + line + edited(right)]
+    rows.append((200, sum(twice, [])))
+    got = {(r["doc_id"], r["match_id"]) for r in passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    assert got == {(100 + (k * 5 + 2) % 12, k) for k in range(12)} | {(200, 200)}
+
+
+def test_what_can_not_be_in_a_chain():
+    """Places that are left out: those that steps of a chain don't tie to as many words as a chain has."""
+    from lagweave.llm.chaining import K, LEAST, MAX_GAP, WINDOW, covered, in_common
+
+    rng = random.Random(5)
+    for _ in range(200):
+        p = sorted(rng.sample(range(400), rng.randint(1, 14)))
+        groups = [[p[0]]]
+        for a, b in zip(p, p[1:], strict=False):
+            groups.append([b]) if b - a > MAX_GAP + K else groups[-1].append(b)
+        holds = lambda g: sum(min(b - a, K) if b - a > K + WINDOW else b - a for a, b in zip(g, g[1:], strict=False)) + K >= LEAST
+        want = [holds(g) for g in groups for _ in g]
+        assert covered(np.array([1] * len(p) + [2]), np.array([*p, p[-1] + 1])).tolist() == [*want, False]
+        u, v = [[rng.randrange(9) for _ in range(rng.randint(0, 12))] for _ in range(2)]
+        assert in_common(np.array(u, np.uint32), np.array(v, np.uint32)) == sum((Counter(u) & Counter(v)).values())
+
+
 def chain_score(path, x, y, n):
     """Words that a chain covers less the cost of its gaps; None where pieces can't follow each other."""
     from lagweave.llm.chaining import GAP_COST, K, MAX_GAP
