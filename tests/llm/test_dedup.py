@@ -325,6 +325,45 @@ def test_what_can_not_be_in_a_chain():
         assert in_common(np.array(u, np.uint32), np.array(v, np.uint32)) == sum((Counter(u) & Counter(v)).values())
 
 
+def test_stretches_are_excluded_only_without_a_passage():
+    """Words that are repeated many times: no stretch with a passage is excluded, and most of the others are."""
+    from lagweave.llm.chaining import LOCAL, chain, common, compared, may_hold, word_runs
+
+    rng = random.Random(8)
+    out, n, held = 0, 0, 0
+    for _ in range(80):
+        u, v = [[w for _ in range(rng.randint(1, 9)) for w in [rng.randrange(7)] * rng.choice([1, 3, 12, 20, 30, 45])][:120] for _ in range(2)]
+        if rng.random() < 0.4:  # an edited copy of a part
+            lo = rng.randrange(len(u))
+            v = v[: rng.randint(0, 40)] + [w if rng.random() > 0.1 else 9 for w in u[lo : lo + rng.randint(30, 90)] if rng.random() > 0.08] + v[:30]
+        u, v = np.array(u, np.uint32), np.array(v, np.uint32)
+        w = np.concatenate([u, v])
+        may = may_hold(word_runs(w, np.array([0, len(u)])), *(np.array([k]) for k in (0, len(u), len(u), len(w))), 50, 0.8)[0]
+        some = common(u, v, LOCAL, 10**6)  # all runs, whatever their number
+        got = [compared(u, v, np.stack([z[i] for z in some], 1), 50, 0.8) for i in chain(*some, 15)] if len(some[0]) else []
+        assert may or not any(got)
+        n, out, held = n + (not any(got)), out + (not may), held + any(got)
+    assert out > 0.5 * n and held > 5, (out, n, held)
+
+
+def test_ends_of_diagonals_are_enough():
+    """Thinned matches of two runs give the pieces of all of them."""
+    from lagweave.llm.chaining import _crossed, merged
+    from lagweave.llm.suffix_dedup import _pack
+
+    rng, zero = random.Random(4), np.zeros(1, np.int64)
+    for _ in range(200):
+        step = rng.randint(1, 5)
+        a, b = ({"f": np.array([f]), "p": np.array([rng.randrange(90)]), "s": np.array([step]), "c": np.array([rng.randint(2, 60)])} for f in (1, 2))
+        got = []
+        for thin in (False, True):
+            parts = list(_crossed(a, zero, b, zero, thin=thin))
+            some = {k: np.concatenate([z[k] for z in parts]) for k in "abxy"}
+            some = {k: z.astype(np.int32 if k in "xy" else np.int64) for k, z in some.items()}
+            got.append([z.tolist() for z in merged(_pack(np.zeros(len(some["a"]), np.int64), some))])
+        assert got[0] == got[1]
+
+
 def chain_score(path, x, y, n):
     """Words that a chain covers less the cost of its gaps; None where pieces can't follow each other."""
     from lagweave.llm.chaining import GAP_COST, K, MAX_GAP
