@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .graph import components
-from .shared import PACKED_BYTES, dropped, kept, pieces, small_batches
+from .shared import PACKED_BYTES, dropped, kept, pieces, shuffled, small_batches
 
 MANY = 32
 #: Frequent n-grams that are known by name when columns are ordered: a bound on what is broadcast (8 MB). Any order gives the same links.
@@ -243,9 +243,9 @@ def candidates(cols: DataFrame, num: int, den: int, ranges: int) -> DataFrame:
     return packed.groupBy("r").applyInArrow(pair, "a bigint, b bigint, chained boolean").groupBy("a", "b").agg(F.max("chained").alias("chained"))
 
 
-def bounded(pairs: DataFrame, cols: DataFrame, num: int, den: int) -> DataFrame:
+def bounded(pairs: DataFrame, cols: DataFrame, num: int, den: int, count: int) -> DataFrame:
     """The pairs (a, b) that sizes and parities allow; chained ones stay."""
-    side = lambda s: cols.select(F.col("id").alias(s), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits"))
+    side = lambda s: shuffled(cols.select(F.col("id").alias(s), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits")), count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -302,9 +302,9 @@ def multiply(ids: np.ndarray, group: np.ndarray, side: np.ndarray, column: pa.Ar
     return out_a, out_b
 
 
-def links(docs: DataFrame, tied: DataFrame, cols: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, tied: DataFrame, cols: DataFrame, k: int, num: int, den: int, count: int) -> tuple[DataFrame, DataFrame]:
     """a, b: a forest of the links among the rows of each block of tied (node, component), and the table it reads; cols has the sizes of their sets."""
-    tied = kept(tied.join(cols.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n")), "node"), "ngram-tied")
+    tied = kept(tied.join(shuffled(cols.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n")), count), "node"), "ngram-tied")
     sizes = tied.groupBy("component").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("held"))
     total = tied.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, total // TASK_COLUMNS)
@@ -312,14 +312,14 @@ def links(docs: DataFrame, tied: DataFrame, cols: DataFrame, k: int, num: int, d
     large = (F.col("count") > BLOCK) | (F.col("held") > TASK_COLUMNS)
     part = F.pmod(F.xxhash64("node"), parts)
     mates = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda x: F.struct(F.least(x, part).alias("i"), F.greatest(x, part).alias("j")))
-    spread = tied.join(sizes, "component").select(
+    spread = tied.join(shuffled(sizes, count), "component").select(
         "node", "component",
         F.when(large, part).otherwise(0).alias("part"),
         F.when(large, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(buckets))).alias("key"),
         large.alias("big"),
         F.explode(F.when(large, mates).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))))).alias("cell"),
     )
-    rows = docs.join(spread, docs["id"] == spread["node"]).select("id", "text", "component", "part", "big", "key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"))
+    rows = docs.join(shuffled(spread, count), docs["id"] == spread["node"]).select("id", "text", "component", "part", "big", "key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"))
 
     def run(t):  # noqa: ANN001, ANN202
         out_a: list[int] = []
@@ -338,7 +338,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of docs: id, n_shingles, component_id (the smallest id reachable by links of a Jaccard similarity of num / den or more)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, count = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    size = size or 0
     ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_TEXT + 1)
     scan = kept(signatures(texts, k, ranges), "ngram-signatures")
     rows = scan.where("r is null").select("id", "n", "f1", "f2")
@@ -346,18 +347,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = kept(rows.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "ngram-classes")
     filled = texts.where(F.col("id").isNotNull())
     cols = columns(filled, k, num, den, known).where("n > 0")
-    cols = kept(cols.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "ngram-columns")
-    near = bounded(candidates(cols, num, den, ranges), cols, num, den)
+    cols = kept(cols.join(shuffled(classes.select(F.col("rep").alias("id")).distinct(), count), "id", "left_semi"), "ngram-columns")
+    near = bounded(candidates(cols, num, den, ranges), cols, num, den, count)
     tied = components(near, "ngram-blocks")
-    pairs, tied_sizes = links(filled, tied, cols, k, num, den)
+    pairs, tied_sizes = links(filled, tied, cols, k, num, den, count)
     found = components(pairs, "ngram-links")
     for done in (cols, tied, tied_sizes):
         dropped(done)
-    out = rows.join(classes, ["n", "f1", "f2"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    out = rows.join(shuffled(classes, count), ["n", "f1", "f2"], "left").join(shuffled(found.withColumnRenamed("node", "rep"), count), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs whose id is the smallest of their component, with all their columns."""
     drop = jaccard_components(docs, id_col, text_col, **options).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__lw_id"))
-    return docs.join(drop, F.col(id_col) == F.col("__lw_id"), "left_anti")
+    return docs.join(shuffled(drop, docs.count()), F.col(id_col) == F.col("__lw_id"), "left_anti")

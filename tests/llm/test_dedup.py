@@ -144,6 +144,28 @@ def test_frequent_ngrams_reach_the_driver_as_bytes(spark, monkeypatch):
     assert not len(ngram_join.frequent(packed.limit(0)))
 
 
+def test_large_joins_do_not_go_through_the_driver(spark, awkward, awkward_rows, monkeypatch):
+    from lagweave.llm import graph, ngram_join, shared
+
+    plans = []
+
+    def seen(df, *args, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return shared.kept(df, *args, **options)
+
+    monkeypatch.setattr(graph, "kept", seen)
+    monkeypatch.setattr(ngram_join, "kept", seen)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 2, raising=False)
+    # Edges (0, 1), ..., and more than two of them in each round.
+    got = components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long"))
+    assert {r["component"] for r in got.collect()} == {0}
+    stage = one_of_each(awkward, k=3, num=9, den=10)
+    assert stage.count() < len(awkward_rows)
+    plans.append(stage._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in x for x in plans) > 5
+    assert not [x for x in plans if "BroadcastHashJoin" in x]
+
+
 def test_ngram_stage(awkward, awkward_rows, no_rows):
     want = sorted(i for i, (_, c) in ngram_brute(awkward_rows, 5, 8, 10).items() if i == c)
     kept = one_of_each(awkward)
