@@ -78,12 +78,13 @@ def border(curve: DataFrame, threshold: float, reach: int, legacy: bool = False)
 
 
 def nearest_time(series: DataFrame, snapshots: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, tau and the point t of the series (by, t, sec) nearest to it; of ties the earlier (of one time the smaller t). One merge of both sides by key and time, no join."""
+    """by, tau and the point t of the series (by, t, sec) nearest to it; of ties the earlier (of one time the smaller t). One merge of both sides by key and time, no join; windows run up to a row, forwards and backwards, as one that starts at a row is made anew for each."""
     point = F.struct("sec", "t")
     points = series.groupBy(*by, "sec").agg(F.min("t").alias("t")).select(*by, "sec", F.lit(None).cast("double").alias("tau"), point.alias("p"))
     rows = points.unionByName(snapshots.select(*by, F.col("tau").alias("sec"), F.col("tau").cast("double").alias("tau")).withColumn("p", F.lit(None).cast(points.schema["p"].dataType)))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("sec")
-    rows = rows.withColumn("before", F.last("p", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("after", F.first("p", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    w = Window.partitionBy(*(by or [F.lit(0)]))
+    nearest = lambda order: F.last("p", ignorenulls=True).over(w.orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("before", nearest(F.col("sec"))).withColumn("after", nearest(F.col("sec").desc()))
     rows = rows.where(F.col("tau").isNotNull())
     later = F.col("before").isNull() | (F.col("after.sec") - F.col("tau") < F.col("tau") - F.col("before.sec"))
     return rows.select(*by, "tau", F.when(later, F.col("after.t")).otherwise(F.col("before.t")).alias("t"))

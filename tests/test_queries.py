@@ -370,3 +370,15 @@ def test_registry():
 
     assert [m.label for m in Reg.selected(Reg.MODELS, "glove, ENVELOPE")] == ["Envelope", "GloVe"] and len(Reg.selected(Reg.MODELS)) == 7
     assert Reg.borders((Reg.Model("a", "euclidean"), Reg.Model("b", "cosine", 0.3)), 0.1) == {"a": 0.1, "b": 0.3}
+
+
+def test_nearest_time_is_one_pass(spark):
+    from lagweave.operators.rsa import nearest_time
+
+    points = [("a", t, float(t)) for t in (0, 4, 10, 11)] + [("a", 99, 4.0), ("b", 7, 5.0)]
+    taus = [("a", x) for x in (-3.0, 2.0, 2.5, 4.0, 7.0, 10.5, 40.0)] + [("b", 1.0), ("b", 9.0), ("c", 1.0)]
+    out = nearest_time(spark.createDataFrame(points, "s string, t long, sec double"), spark.createDataFrame(taus, "s string, tau double"), ("s",))
+    got = {(r["s"], r["tau"]): r["t"] for r in out.collect()}
+    assert got == {("a", -3.0): 0, ("a", 2.0): 0, ("a", 2.5): 4, ("a", 4.0): 4, ("a", 7.0): 4, ("a", 10.5): 10, ("a", 40.0): 11, ("b", 1.0): 7, ("b", 9.0): 7, ("c", 1.0): None}
+    # A frame that ends at the last row is made anew for each row.
+    assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()
