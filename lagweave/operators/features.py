@@ -126,13 +126,14 @@ def score_story(tokens: DataFrame, score: Callable[[list[str], int], list[float]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                words = [x["token"] for x in row["s"]]
+            for i in range(b.num_rows):  # Python objects are made of one story at a time
+                story = b.column("s")[i].values
+                words = story.field("token").to_pylist()
                 out: list[float] = []
                 for p in range(0, len(words), block):
                     end = min(p + block, len(words))
                     out += score(words[max(0, p - context + 1) : end], end - p)
-                yield pa.RecordBatch.from_arrays([pa.array([row["doc"]] * len(words), pa.int64()), pa.array([x["pos"] for x in row["s"]], pa.int32()), pa.array(out, pa.float64())], ["doc", "pos", "score"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(b.column("doc")[i], len(words)).cast(pa.int64()), story.field("pos").cast(pa.int32()), pa.array(out, pa.float64())], ["doc", "pos", "score"])
 
     return packed.mapInArrow(run, "doc bigint, pos int, score double")
 

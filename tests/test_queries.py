@@ -382,3 +382,19 @@ def test_nearest_time_is_one_pass(spark):
     assert got == {("a", -3.0): 0, ("a", 2.0): 0, ("a", 2.5): 4, ("a", 4.0): 4, ("a", 7.0): 4, ("a", 10.5): 10, ("a", 40.0): 11, ("b", 1.0): 7, ("b", 9.0): 7, ("c", 1.0): None}
     # A frame that ends at the last row is made anew for each row.
     assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_stories_are_made_objects_one_at_a_time(spark):
+    from lagweave.operators.features import score_story
+
+    def most(stories: int) -> float:
+        words = spark.range(stories * 100, numPartitions=1).select(F.floor(F.col("id") / 100).alias("doc"), (F.col("id") % 100).cast("int").alias("pos"), F.concat(F.lit("w"), "id").alias("token")).coalesce(1)
+
+        def blocks(words: list[str], n: int) -> list[float]:
+            import sys
+
+            return [float(sys.getallocatedblocks())] * n
+
+        return score_story(words, blocks, 8, 4).agg(F.max("score")).first()[0]
+
+    assert most(4000) - most(4) < 100_000
