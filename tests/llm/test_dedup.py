@@ -368,6 +368,23 @@ def test_stretches_are_excluded_only_without_a_passage():
     assert out > 0.5 * n and held > 5, (out, n, held)
 
 
+def test_work_of_a_frequent_seed_is_bounded(monkeypatch):
+    from lagweave.llm import chaining
+
+    monkeypatch.setattr(chaining, "TILE", 8, raising=False)
+    monkeypatch.setattr(chaining, "WORK", 64)
+    size = np.array([3, 1, 50, 8, 9, 2])
+    cut = np.cumsum(size) - size
+    got = []
+    for own, first, low, high in chaining.tiled(cut, size):
+        assert len(own) <= 64 and (high - low).sum() <= 64 + 36
+        got += [(int(own[first + k]), int(own[j])) for k in range(len(low)) for j in range(low[k], high[k])]
+    want = [(int(c + i), int(c + j)) for c, m in zip(cut, size, strict=True) for i in range(m) for j in range(i + 1)]
+    assert sorted(got) == sorted(want)  # each pair once
+    # What all rows hold follows the pairs: it was the cube of the places before.
+    assert sum(len(own) for own, *_ in chaining.tiled(np.array([0]), np.array([800]))) <= 2 * 800 * 801 / 2 / 8 + 800
+
+
 def test_ends_of_diagonals_are_enough():
     """Thinned matches of two runs give the pieces of all of them."""
     from lagweave.llm.chaining import _crossed, merged
